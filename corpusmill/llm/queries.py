@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import Registry
 from ..tables import table
-from . import unify
+from . import leaks, neardup, pieces, repeats, unify
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -37,3 +37,76 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "fused_children").select(F.lit("fused_children").alias("tbl"), F.col("hit_id").alias("row_key"), "text")
     both = chunks.unionByName(hits).dropDuplicates(["tbl", "row_key", "text"])
     return unify.unify(both, ["tbl", "row_key"], both.select("text"))
+
+
+@query(
+    "p3_found",
+    sql="""
+    SELECT DISTINCT c.chunk_id FROM chunks c JOIN chunk_limits l
+      ON l.chunk_type = c.chunk_type AND l.tier = CASE WHEN coalesce(c.parent_id, '') = '' THEN 'parent' ELSE 'child' END
+    WHERE l.max_chars IS NOT NULL AND length(c.text) > l.max_chars""",
+)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks the splitter had to cut."""
+    cut = pieces.split(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
+    return cut.filter("n_pieces > 1 and piece_no = 0").select("chunk_id")
+
+
+@query("p3_pieces")
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.split(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_limits"))
+
+
+def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "chunks").filter("parent_id <> '' and chunk_type = 'text'").select(F.col("chunk_id").alias("id"), "text")
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = neardup.reduced(_children(spark, sf_dir))
+    return neardup.record_pairs(rows, neardup.links(rows)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+
+
+@query("p6_groups")
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each child chunk that repeats another: its group (the group's smallest chunk_id), its document and its number of links."""
+    rows = neardup.reduced(_children(spark, sf_dir))
+    found = neardup.links(rows)
+    edges = found.select(F.hex("same_a").alias("a"), F.hex("same_b").alias("b"))
+    roots = neardup.components(edges)
+    degree = edges.select("a").union(edges.select("b")).groupBy("a").count()
+    members = rows.select("id", F.hex("same").alias("same")).distinct()
+    copies = members.groupBy("same").agg((F.count("*") - 1).alias("copies"))
+    own = members.join(copies, "same").join(roots, F.col("same") == F.col("node"), "left").join(degree, F.col("same") == F.col("a"), "left").filter("copies > 0 or node is not null")
+    own = own.select("id", F.coalesce("root", "same").alias("root"), (F.coalesce("count", F.lit(0)) + F.col("copies")).alias("links"))
+    names = own.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size"))
+    return own.join(names, "root").select(F.col("id").alias("chunk_id"), F.substring_index("id", ":", 1).alias("doc_id"), "group_id", "group_size", "links")
+
+
+@query("p7_found")
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_set")).select("doc_id", "question_id").distinct()
+
+
+@query("p7_items")
+def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each leaked test item: in how many documents its question, its answer and both stand, and the longest run of tokens."""
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_set"))
+    per = found.groupBy("question_id", "doc_id").agg(F.max((F.col("field") == "question").cast("int")).alias("q"), F.max((F.col("field") == "answer").cast("int")).alias("a"), F.max("run").alias("run"))
+    return per.groupBy("question_id").agg(F.count("*").alias("documents"), F.sum("q").alias("with_question"), F.sum("a").alias("with_answer"), F.sum(F.col("q") * F.col("a")).alias("with_both"), F.max("run").alias("longest_run"))
+
+
+@query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.failed(repeats.ledger(table(spark, sf_dir, "documents")), "repeated_content").select("doc_id")
+
+
+@query("p9_ledger")
+def p9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's share of repeated content, by each rule, and its failure bits."""
+    return repeats.ledger(table(spark, sf_dir, "documents"))
+
+
+@query("p9_policies")
+def p9_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.ablations(repeats.ledger(table(spark, sf_dir, "documents")))
