@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import Registry
 from ..tables import table
-from . import leaks, neardup, pieces, repeats, unify
+from . import leaks, neardup, pieces, repeats, scans, unify
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -110,3 +110,13 @@ def p9_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p9_policies")
 def p9_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.ablations(repeats.ledger(table(spark, sf_dir, "documents")))
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.defects(table(spark, sf_dir, "parsed_items"))
+
+
+@query("p2_paragraphs")
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "parsed_items"))
