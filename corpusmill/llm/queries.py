@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import Registry
 from ..tables import table
-from . import leaks, neardup, pieces, repeats, scans, unify
+from . import answers, leaks, mixing, neardup, pieces, repeats, scans, unify
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -120,3 +120,41 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("p2_paragraphs")
 def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.paragraphs(table(spark, sf_dir, "parsed_items"))
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = answers.judged(table(spark, sf_dir, "eval_samples"))
+    return rows.filter("bits <> 0").select("sample_id", answers.type_of(F.col("bits")).alias("defect"))
+
+
+@query("p5_defects")
+def p5_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every triggered type of every defective sample."""
+    rows = answers.judged(table(spark, sf_dir, "eval_samples")).filter("bits <> 0")
+    each = F.array(*[F.struct(F.lit(1 << i).alias("bit"), F.lit(t).alias("defect")) for i, t in enumerate(answers.TYPES)])
+    return rows.select("sample_id", "bits", F.explode(each).alias("t")).filter("bits & t.bit <> 0").select("sample_id", "t.defect")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
+    sizes = mixing.sized(table(spark, sf_dir, "documents"))
+    rows = mixing.plan(sizes, table(spark, sf_dir, "mix_targets"))
+    return mixing.uses(sizes, rows), rows
+
+
+@query("p8_mix")
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document of a target source with its number of uses."""
+    return _mix(spark, sf_dir)[0].select("doc_id", "source", "tokens", "uses")
+
+
+@query("p8_shares")
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, rows = _mix(spark, sf_dir)
+    return mixing.shares(used, rows)
+
+
+@query("p8_schedule")
+def p8_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used, rows = _mix(spark, sf_dir)
+    return mixing.interleave(used, rows)
