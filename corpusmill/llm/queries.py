@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..registry import Registry
 from ..tables import table
-from . import answers, leaks, mixing, neardup, pieces, repeats, scans, unify
+from . import answers, leaks, markup, mixing, neardup, pieces, repeats, scans, unify
 
 REGISTRY = Registry()
 query = REGISTRY.query
@@ -158,3 +158,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, rows = _mix(spark, sf_dir)
     return mixing.interleave(used, rows)
+
+
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "parsed_items").select(F.lit("parsed_items").alias("tbl"), F.concat_ws(":", "doc_id", F.col("pos").cast("string")).alias("row_key"), "text", F.col("type").alias("kind"))
+    chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_key"), "text", F.col("chunk_type").alias("kind"))
+    return items.unionByName(chunks)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markup.cleaned(_marked(spark, sf_dir)).select("tbl", "row_key").distinct()
+
+
+@query("p4_clean")
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's clean text, once a row."""
+    return markup.cleaned(_marked(spark, sf_dir), all_rows=True).dropDuplicates(["tbl", "row_key"])
