@@ -3,3 +3,5 @@
 from ..registry import Registry
 
 REGISTRY = Registry()
+
+from . import cleaning, corpus, evaluation, retrieval, sessions, tasks, web  # noqa: E402, F401
