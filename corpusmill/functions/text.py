@@ -101,11 +101,11 @@ def is_http_url(c: Column) -> Column:
 
 
 def file_size(c: Column) -> Column:
-    """Bytes as B, KB or MB with one decimal."""
+    """Bytes as B, KB or MB with one decimal, rounded down."""
     return (
         F.when(c < 1024, F.concat(c.cast("string"), F.lit(" B")))
-        .when(c < 1024 * 1024, F.concat(F.format_string("%.1f", c / 1024.0), F.lit(" KB")))
-        .otherwise(F.concat(F.format_string("%.1f", c / 1048576.0), F.lit(" MB")))
+        .when(c < 1024 * 1024, F.concat(F.format_string("%.1f", F.floor(c / F.lit(102.4)) / 10), F.lit(" KB")))
+        .otherwise(F.concat(F.format_string("%.1f", F.floor(c / F.lit(104857.6)) / 10), F.lit(" MB")))
     )
 
 
@@ -124,7 +124,7 @@ def title(c: Column, most: int = 20) -> Column:
 
 def data_uri(mime: Column, content: Column, most: int = 10 * 1024 * 1024) -> Column:
     """A base64 data URI of a PNG or JPEG within the size limit, else null."""
-    return F.when(mime.isin("image/png", "image/jpeg") & (F.octet_length(content) <= most), F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content)))
+    return F.when(mime.isin("image/png", "image/jpeg") & (F.octet_length(content) <= most), F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), "[\r\n]", "")))
 
 
 def image_placeholder(n: Column, path: Column, caption: Column) -> Column:

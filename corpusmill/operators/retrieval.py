@@ -6,11 +6,14 @@ shuffle (WindowGroupLimit). Ties fall to the smaller id.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
 from ..session import stage_table
@@ -142,12 +145,18 @@ def search(chunks: DataFrame, queries: DataFrame, encode: Callable[[Column], Col
 
 
 def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
-    """A deterministic stand-in for an embedding model, for mechanics and tests only: signed counts of hashed terms at length one."""
-
-    def encode(c: Column) -> Column:
-        slots = F.transform(T.terms(F.coalesce(c, F.lit(""))), lambda t: F.struct(F.pmod(F.xxhash64(t), F.lit(dim)).alias("i"), F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1.0).otherwise(-1.0).alias("s")))
-        counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.aggregate(F.filter(slots, lambda x: x["i"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-        n = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-        return F.transform(counts, lambda x: F.when(n == 0, x).otherwise(x / n))
-
-    return encode
+    """A deterministic stand-in for an embedding model, for mechanics and tests only: signed counts of hashed terms at length one. An encoder is any
+    function from a text column to a vector column; this one is an Arrow UDF, as a model's would be."""
+    def vectors(terms: pd.Series) -> pd.Series:
+        out = []
+        for row in terms:
+            v = np.zeros(dim)
+            for t in row if row is not None else ():
+                h = zlib.crc32(t.encode())
+                v[h % dim] += 1.0 if h >> 16 & 1 else -1.0
+            n = np.sqrt(v @ v)
+            out.append((v / n if n else v).tolist())
+        return pd.Series(out)
+
+    udf = F.pandas_udf(vectors, ArrayType(DoubleType()))
+    return lambda c: udf(T.terms(F.coalesce(c, F.lit(""))))

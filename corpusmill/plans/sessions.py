@@ -113,8 +113,8 @@ def reminders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "after_reset",
-    sql=f"""WITH l AS ({_LOG}), x AS (SELECT thread, max(id) AS at FROM l WHERE role = 'assistant' AND trim(text) = '' GROUP BY thread)
-    SELECT l.thread, l.id FROM l LEFT JOIN x USING (thread) WHERE NOT (role = 'assistant' AND trim(text) = '') AND (at IS NULL OR l.id > at)""",
+    sql=f"""WITH l AS ({_LOG}), x AS (SELECT thread, max(id) AS reset_id FROM l WHERE role = 'assistant' AND trim(text) = '' GROUP BY thread)
+    SELECT l.thread, l.id FROM l LEFT JOIN x USING (thread) WHERE NOT (role = 'assistant' AND trim(text) = '') AND (reset_id IS NULL OR l.id > reset_id)""",
 )
 def after_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows since each thread's last reset (an empty assistant row)."""
@@ -141,7 +141,7 @@ def iso_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sizes_shown",
-    sql="""SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', b / 1024e0) || ' KB' ELSE printf('%.1f', b / 1048576e0) || ' MB' END AS shown, left(o_orderkey::VARCHAR, 8) AS short_id
+    sql="""SELECT o_orderkey, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f', floor(b / 102.4e0) / 10) || ' KB' ELSE printf('%.1f', floor(b / 104857.6e0) / 10) || ' MB' END AS shown, left(o_orderkey::VARCHAR, 8) AS short_id
     FROM (SELECT o_orderkey, CAST(floor(o_totalprice) AS BIGINT) * 11 AS b FROM orders)""",
 )
 def sizes_shown(spark: SparkSession, sf_dir: str) -> DataFrame:

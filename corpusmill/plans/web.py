@@ -48,7 +48,7 @@ def hit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "sources_union",
     sql="""WITH b AS (SELECT query_id, 0 AS part, hit_id AS n, metadata.source AS url FROM fused_children WHERE dense_rank IS NOT NULL UNION ALL SELECT query_id, 1, hit_id, metadata.source FROM fused_children WHERE dense_rank IS NULL),
-    f AS (SELECT query_id, url, min(row(part, n)) AS at FROM b WHERE url <> '' GROUP BY query_id, url), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY at, url) AS k FROM f)
+    f AS (SELECT query_id, url, min(row(part, n)) AS first_at FROM b WHERE url <> '' GROUP BY query_id, url), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first_at, url) AS k FROM f)
     SELECT query_id, string_agg(url, '|' ORDER BY k) AS sources FROM k WHERE k <= 10 GROUP BY query_id""",
 )
 def sources_union(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,12 +26,11 @@ def frames(chunks: DataFrame) -> DataFrame:
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     open_, done = state.get if state.exists else (0, 0)
     out = []
-    for pdf in batches:
-        for r in pdf.sort_values("n").itertuples():
-            open_ = max(0, open_ + (1 if r.kind == "submit" else -1))
-            if open_ == 0 and r.kind == "finish":
-                done += 1
-                out.append((key[0], int(r.n), done))
+    for r in pd.concat(list(batches)).sort_values("n").itertuples():  # one thread's events of one trigger
+        open_ += 1 if r.kind == "submit" else -1
+        if open_ == 0 and r.kind == "finish":
+            done += 1
+            out.append((key[0], int(r.n), done))
     state.update((open_, done))
     yield pd.DataFrame(out, columns=["thread", "n", "batch"])
 
