@@ -34,7 +34,7 @@ def binary(spark: SparkSession, folder: str) -> DataFrame:
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """``(line, row, problem)``: each non-blank line with its number. The file's content is one row until it is split, so it must fit a task."""
-    files = spark.read.option("wholetext", "true").text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.posexplode(F.split("value", "\r?\n")).alias("i", "raw")).filter("trim(raw) <> ''")
     row = F.from_json("raw", schema, {"mode": "PERMISSIVE"})
     broken = F.try_parse_json("raw").isNull()
