@@ -285,6 +285,9 @@ def _honest(r: random.Random, zh: bool) -> tuple[str, bool]:
         "x ~ y", f"~{n}%", f"about ~{n} million", f"{n}*{m} lots", f"{n} * {m}", "* unaudited", "* unaudited.", "^2 term", f"2^{n % 9}", "net debt == zero?", "a == b", f"k = {n}", "C:\\deals", "D:\\data\\deals.", f"{n} > {m}", f"{n} < {m}", f"<{n}%", f">{n}%", f"info@{r.choice(['abc', 'firm'])}.example", f"[{t}]", f"a -> b", f"{t} | {_name(r, zh)}", f"({n}|{m})", "**", "p*", f"{n}&{m}", "x_i", "B&B & Co", f"= {n}", f"[l{n}]", f"[{n}, {m}]", "sic [sic]",
         "[...]", f"[{t}: {n}]", f"{n}% [{m}]",
     ]
+    if r.random() < 0.25:  # several in one sentence
+        return ", ".join(r.choice(inline) for _ in range(r.randint(2, 5))), False
+    inline += [f"{r.choice(['net', 'op', 'item', 'unit'])}_{r.choice(['no', 'id', 'cost', 'rate'])} {n}", f"{_name(r, False).split()[0].lower()}_{n}"]
     block = [f"- {_plain(r, zh)}", f"[{n}]", f"- {n} -", f"· {n} ·", f"{t} | {_name(r, zh)}", f"{t} | p. {n}", f"{t} | Page {n} of {m}", f"[image {n}: figs/{r.choice('abc')}_{m}.png; caption: {_plain(r, zh)}]", f"{t} [{n}]", f"* unaudited", f"* {t}", f"= {n}", f"{n} / {m}"]
     return (r.choice(block), True) if r.random() < 0.3 else (r.choice(inline), False)
 
