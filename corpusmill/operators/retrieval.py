@@ -87,10 +87,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", k1: f
     listed = docs.select(key, T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
     tokens = listed.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
     tf = stage_table(tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    size = listed.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
+    n, avgdl = listed.agg(F.count("*"), F.avg(F.size("terms"))).first()  # two numbers
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weight = df.join(F.broadcast(size)).select("term", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"), "avgdl")  # size is one row
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    weight = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     scored = wanted.join(weight, "term").join(tf, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
     return top(scored, F.round("score", 9), k, ["query_id"], key)
 
