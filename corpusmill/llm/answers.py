@@ -6,7 +6,7 @@ Rules, in the order that decides a pair's one type: ``empty`` (null, blank, only
 that cannot end, a proper prefix of the reference, or an unstopped sentence whose last words end no sentence anywhere in the corpus).
 Every triggered type is emitted as a bit.
 
-The sentence ends are counted over all responses and references and meet the pairs in a join. Null questions and references are taken as
+The sentence ends are those of all responses, references and (where there are any) retrieved contexts; they meet the pairs in a join. Null questions and references are taken as
 ''. Repeated samples count once (the latest arrival). Extra columns are not read.
 """
 
@@ -108,10 +108,10 @@ def unclosed(text: str) -> bool:
 def tail(text: str) -> str | None:
     """The last words of a text, digits as #, by which ends of sentences are compared."""
     t = re.sub(r"\d+(?:[.,]\d+)*", "#", fold(text).strip().lower()).rstrip("\"'”’」』)）*_` ")
-    if _HAN.search(t[-4:]):
-        return t[-4:]
+    if _HAN.search(t[-5:]):
+        return t[-5:]
     words = t.split()
-    return " ".join(words[-2:]) if words else None
+    return " ".join(words[-3:]) if words else None
 
 
 def ends(text: str) -> list[str]:
@@ -171,7 +171,10 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        seen = {e for n in ("response", "reference") for t in b.column(n).to_pylist() if t for e in ends(fold(t))}
+        texts = [t for n in ("response", "reference") for t in b.column(n).to_pylist() if t]
+        if "retrieved_contexts" in b.schema.names:
+            texts += [t for c in b.column("retrieved_contexts").to_pylist() if c for t in c if t]
+        seen = {e for t in texts for e in ends(fold(t))}
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["tail"])
 
 
@@ -180,7 +183,7 @@ def judged(samples: DataFrame) -> DataFrame:
     rows = samples.groupBy("sample_id").agg(F.max_by(F.struct("user_input", "response", "reference"), "arrived_at").alias("s"), F.first(F.struct("user_input", "response", "reference")).alias("any"))
     rows = rows.select(F.col("sample_id").cast("bigint"), F.coalesce("s", "any").alias("s")).select("sample_id", "s.*")
     first = rows.mapInArrow(_judge, "sample_id bigint, bits int, tail string")
-    known = samples.select("response", "reference").mapInArrow(_ends, "tail string").distinct().withColumn("ends", F.lit(True))
+    known = samples.select("response", "reference", *[c for c in ("retrieved_contexts",) if c in samples.columns]).mapInArrow(_ends, "tail string").distinct().withColumn("ends", F.lit(True))
     rest = first.join(known, "tail", "left")
     unended = F.when(F.col("tail").isNotNull() & F.col("ends").isNull(), 16).otherwise(0)
     return rest.select("sample_id", F.col("bits").bitwiseOR(unended).alias("bits"))
