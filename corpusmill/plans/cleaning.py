@@ -153,7 +153,7 @@ def heading_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_offsets",
-    sql=f"""WITH i AS ({_ITEMS}) SELECT doc_id, pos, page_no, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM i""",
+    sql=f"""WITH i AS ({_ITEMS}) SELECT doc_id, pos, page_no, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos FROM i""",
 )
 def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.offsets(items(spark, sf_dir))

@@ -54,7 +54,7 @@ def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.compare(samples(spark, sf_dir), ["run_v1_a", "run_v2_a"])
 
 
-@query("eval_contexts", sql="SELECT DISTINCT sample_id, contexts_count, len(retrieved_contexts) AS n_contexts, list_sum(list_transform(retrieved_contexts, lambda x: length(x))) AS context_chars FROM eval_samples")
+@query("eval_contexts", sql="SELECT DISTINCT sample_id, contexts_count, len(retrieved_contexts) AS n_contexts, CAST(list_sum(list_transform(retrieved_contexts, lambda x: length(x))) AS BIGINT) AS context_chars FROM eval_samples")
 def eval_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each sample retrieved: how many contexts, how many characters."""
     chars = F.when(F.size("retrieved_contexts") > 0, F.aggregate("retrieved_contexts", F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(F.length(x), F.lit(0))))

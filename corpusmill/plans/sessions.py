@@ -42,8 +42,8 @@ _USAGE = "CASE WHEN role = 'assistant' THEN NULL ELSE k END"
 
 @query(
     "usage_totals",
-    sql=f"""WITH l AS ({_LOG}) SELECT thread, count(coalesce({_USAGE}, CASE WHEN role = 'tool' THEN k * 2 END)) AS calls, sum(coalesce({_USAGE}, 0)) AS input, sum(coalesce(CASE WHEN role = 'tool' THEN k * 2 END, 0)) AS output,
-    sum(coalesce(CASE WHEN role = 'user' THEN k % 7 END, CASE WHEN role = 'tool' THEN 1 END, 0)) AS cached FROM l GROUP BY thread""",
+    sql=f"""WITH l AS ({_LOG}) SELECT thread, count(coalesce({_USAGE}, CASE WHEN role = 'tool' THEN k * 2 END)) AS calls, CAST(sum(coalesce({_USAGE}, 0)) AS BIGINT) AS input, CAST(sum(coalesce(CASE WHEN role = 'tool' THEN k * 2 END, 0)) AS BIGINT) AS output,
+    CAST(sum(coalesce(CASE WHEN role = 'user' THEN k % 7 END, CASE WHEN role = 'tool' THEN 1 END, 0)) AS BIGINT) AS cached FROM l GROUP BY thread""",
 )
 def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token-like totals: a row of the assistant has no usage."""
@@ -97,7 +97,7 @@ def memory_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "context_budget",
     sql="""WITH r AS (SELECT ticker, doc_id, sum(length(text)) OVER (PARTITION BY ticker ORDER BY doc_id) AS total FROM documents WHERE ticker IS NOT NULL)
-    SELECT ticker, doc_id, total FROM r WHERE total > 16000 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY doc_id) = 1""",
+    SELECT ticker, doc_id, CAST(total AS BIGINT) AS total FROM r WHERE total > 16000 QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY doc_id) = 1""",
 )
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each ticker's documents, read in order, pass the context budget."""
