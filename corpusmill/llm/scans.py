@@ -9,7 +9,7 @@ Lines are then joined. A word cut by a hyphen-like mark at a line end, or at the
 the corpus vocabulary has it: with or without its hyphen. A token is misread if exchanging characters a scan confuses gives a word that is
 ``TIMES`` as frequent in the corpus; for CJK the frequency is that of the character with its neighbours.
 
-Vocabulary, keys and counts are aggregated over all rows and meet the items in joins; nothing is collected. No stage gathers a document: the
+Vocabulary, keys and counts are aggregated over all rows and meet the items in joins; only bit filters of a fixed size reach the driver. No stage gathers a document: the
 look ahead to the next body item runs in windows of ``SPAN`` positions, which overlap by ``AHEAD``. Only text items with a page count. Nulls
 and empty texts give no defect. Items delivered twice count once. Very long items are processed whole.
 """
@@ -17,9 +17,12 @@ and empty texts give no defect. Items delivered twice count once. Very long item
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -40,10 +43,13 @@ CJK_MISREAD = "有冇 元兀 元无 计汁 业亚 长氏 司可 季李 响晌 
 _CJK_FIX: dict[str, list[str]] = {}
 for _pair in CJK_MISREAD.split():
     _CJK_FIX.setdefault(_pair[1], []).append(_pair[0])
-_CJK_HOT = set(CJK_MISREAD) - {" "}
+_CJK_HOT = re.compile("[" + "".join(sorted(set(CJK_MISREAD) - {" "})) + "]")
+#: Bits of the filters that tell which units can matter; one is broadcast at a time. False positives are settled by exact joins.
+FILTER_BITS = 1 << 23
 
 _ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})", re.I)
 _DIGIT = str.maketrans("lIiOoSsBZzq|!", "1110055822911")
+_DIGITS = re.compile(r"[0-9lIiOoSsBZzq|!]+")
 _NUM = r"[0-9lIOoSBZq|]{1,4}"
 _LABELS = tuple(
     re.compile(p, re.I)
@@ -59,7 +65,6 @@ _LABELS = tuple(
         r"([ivxlc]{1,8})",
     )
 )
-_LAST = re.compile(r"(?:^|[\s|·/,;—–-]*(?<=[\s|·/,;。」』)）—–-]))(" + "|".join(f"(?:{p.pattern})".replace("(?i)", "") for p in _LABELS) + r")\s*$", re.I)
 _SHUT = re.compile(r"[\s|·/—–:：-]+$")
 
 
@@ -82,9 +87,17 @@ def states(label: str, page: int) -> bool:
     return digits.isdigit() and int(digits) == page or number(label) == page
 
 
+@cache
+def roman(n: int) -> str:
+    tens, ones = ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
+    return "c" * (n // 100) + tens[n // 10 % 10] + ones[n % 10] if 0 < n < 400 else "-"
+
+
 def label_of(line: str, page: int) -> tuple[str, bool]:
     """The line without a page label that states its page, and whether there was one."""
     line = line.strip()
+    if str(page) not in " ".join(_DIGITS.findall(line)).translate(_DIGIT) and roman(page) not in line.lower():
+        return line, False
     for p in _LABELS:
         if (m := p.fullmatch(line)) and states(m[1], page):
             return "", True
@@ -97,14 +110,24 @@ def label_of(line: str, page: int) -> tuple[str, bool]:
     return line, False
 
 
-#: Every character a scan confuses, written as the longest reading, so that both readings give one key.
-_SPREAD = str.maketrans({"d": "ci", "n": "ri", "m": "rri", "h": "ii", "w": "vv", "u": "ii", "l": "i", "1": "i", "|": "i", "!": "i", "0": "o", "5": "s", "$": "s", "6": "b", "8": "b", "9": "g", "@": "a", "4": "a", "7": "t", "†": "t", "2": "z", "e": "c", "3": "c"} | {k: v[0] for k, v in _CJK_FIX.items()})
+#: What a scan confuses with several characters, written as the longest reading, so that both readings give one key.
+_SPREAD = (("m", "rn"), ("n", "ri"), ("d", "cl"), ("h", "li"), ("w", "vv"), ("u", "ii"))
+_ONE = str.maketrans("l1|!05$68" + "9@47†2e3", "iiiiossbb" + "gaattzcc")
+_ONE_BY = {chr(k): chr(v) for k, v in _ONE.items()} | {k: v[0] for k, v in _CJK_FIX.items()}
+_ONE_OF = re.compile("[" + "".join(map(re.escape, _ONE_BY)) + "]")
+_NUMBER = re.compile(r"(?<![a-zà-ÿ])\d+(?:[.,]\d+)*(?![a-zà-ÿ])")
 
 
 def fuzzy(line: str) -> str:
-    """A key on which lines that a scan may confuse agree."""
-    t = re.sub(r"(?<![a-zà-ÿ])\d+(?:[.,]\d+)*(?![a-zà-ÿ])", "#", fold(line).lower())
-    return re.sub(r"[^\w#]+", "", t.translate(_SPREAD))
+    """A key on which lines that a scan may confuse agree. ``line`` is folded."""
+    t = _NUMBER.sub("#", line.lower())
+    for whole, parts in _SPREAD:
+        t = t.replace(whole, parts)
+    if t.isascii():
+        t = t.translate(_ONE)
+    else:  # translate is slow beyond ASCII
+        t = _ONE_OF.sub(lambda m: _ONE_BY[m[0]], t)
+    return re.sub(r"[^\w#]+", "", t)
 
 
 _PART = re.compile(r"\s[·|/]\s|\s-\s|, ")
@@ -170,6 +193,8 @@ def furniture(items: DataFrame) -> DataFrame:
 _WORD = re.compile(r"[A-Za-zÀ-ɏ@†$!|0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†$!|0-9]*")
 _COMPOUND = re.compile(r"[A-Za-zÀ-ɏ]+-[A-Za-zÀ-ɏ]+")
 _BREAK = re.compile(rf"([A-Za-zÀ-ɏ@†0-9]*[A-Za-zÀ-ɏ])[{HYPHENS}][ \t]*\n[ \t\n]*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†0-9]*)")
+_CUT = re.compile(rf"[{HYPHENS}][ \t]*\n")
+_MARKS = {*HYPHENS}
 _TAIL = re.compile(rf"([A-Za-zÀ-ɏ@†0-9]*[A-Za-zÀ-ɏ])[{HYPHENS}]\s*$")
 _HEAD = re.compile(r"\s*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†0-9]*)")
 _HAN = "㐀-䶿一-鿿，。；、：（）“”"
@@ -184,8 +209,12 @@ def _without(text: str, lines: list[int] | None) -> str:
 
 def flow(text: str, compounds: set[tuple[str, str]] = frozenset()) -> str:
     """Lines of one item in one, words cut at a line end joined, with a hyphen if they are among the compounds."""
-    t = _BREAK.sub(lambda m: f"{m[1]}-{m[2]}" if (m[1].lower(), m[2].lower()) in compounds else m[1] + m[2], text)
+    t = text
+    if _CUT.search(t):
+        t = _BREAK.sub(lambda m: f"{m[1]}-{m[2]}" if (m[1].lower(), m[2].lower()) in compounds else m[1] + m[2], t)
     t = fold(t)
+    if "\n" not in t:
+        return t
     t = re.sub(rf"(?<=[{_HAN}]) ?\n ?|\n ?(?=[{_HAN}])", "", t)
     return re.sub(r"\s*\n\s*", " ", t)
 
@@ -194,15 +223,37 @@ def units(text: str) -> set[str]:
     """Vocabulary units of a flowing text: words, and for CJK each character that a scan confuses with its neighbours."""
     out = {w.lower() for w in _WORD.findall(text)} | {w.lower() for w in _COMPOUND.findall(text)}
     t = re.sub(r"(?<=[㐀-鿿]) (?=[㐀-鿿])", "", text)
-    for i, c in enumerate(t):
-        if c in _CJK_HOT:
-            left, right = t[max(0, i - 1) : i], t[i + 1 : i + 2]
-            out.add(f"{left}{c}")
-            out.add(f"{c}{right}")
-            out.add(f"{left}{c}{right}")
+    for m in _CJK_HOT.finditer(t):
+        i = m.start()
+        a = max(0, i - 1)
+        out.update((t[a : i + 1], t[i : i + 2], t[a : i + 2]))
     return out
 
 
+def slot(unit: str) -> int:
+    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % FILTER_BITS
+
+
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for b in batches:
+        bits[[slot(u) for u in b.column(0).to_pylist()]] = True
+    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+
+def unit_filter(units_: DataFrame) -> bytes:
+    """A filter over a one-column frame of units: ``FILTER_BITS`` bits whatever the number of units, merged from at most four tasks."""
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in units_.coalesce(4).mapInArrow(_bitmaps, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _has(bits: bytes, unit: str) -> bool:
+    at = slot(unit)
+    return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, n) of the texts, reduced within the task."""
     n: Counter[str] = Counter()
@@ -213,76 +264,99 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for b in batches:
-        for t in b.column("body").to_pylist():
-            n.update(units(flow(t)))
+        for t in b.column("flat").to_pylist():
+            n.update(units(t))
         if len(n) > 200_000:
             yield flush()
     if n:
         yield flush()
 
 
-def variants(unit: str) -> list[str]:
-    """What a unit may have been before the scan, by one or two exchanges; for CJK by one, for every context."""
+def variants(unit: str, rare: bool = True) -> Iterator[list[str]]:
+    """What a unit may have been before the scan: by one exchange, then, for a rare unit, by two; for CJK by one, for every context."""
     if any("㐀" <= c <= "鿿" for c in unit):
-        return [unit[:i] + f + unit[i + 1 :] for i, c in enumerate(unit) for f in _CJK_FIX.get(c, ())]
-    out, front = set(), {unit}
-    for _ in range(2):
-        new = set()
-        for u in front:
-            for bad, good in LATIN_MISREAD:
-                at = u.find(bad)
-                while at >= 0 and len(new) < 400:
-                    new.add(u[:at] + good + u[at + len(bad) :])
-                    at = u.find(bad, at + 1)
-        front = new - out
-        out |= new
-    return [w for w in out if w.isalpha() and len(w) > 2 and w != unit]
-
-
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [(u, n, v) for u, n in zip(b.column("unit").to_pylist(), b.column("n").to_pylist()) for v in variants(u)]
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], names=["unit", "n", "variant"])
+        yield [unit[:i] + f + unit[i + 1 :] for i, c in enumerate(unit) for f in _CJK_FIX.get(c, ())]
+        return
+
+    def once(u: str) -> set[str]:
+        out = set()
+        for bad, good in LATIN_MISREAD:
+            at = u.find(bad)
+            while at >= 0:
+                out.add(u[:at] + good + u[at + len(bad) :])
+                at = u.find(bad, at + 1)
+        return out
+
+    first = once(unit)
+    yield [w for w in first if w.isalpha() and len(w) > 2]
+    if rare and len(unit) <= 24:
+        yield [w for w in set().union(*map(once, first)) if w.isalpha() and len(w) > 2 and w != unit]
+
+
+def _variants(common: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for u, n in zip(b.column("unit").to_pylist(), b.column("n").to_pylist()):
+                for found in variants(u, rare=n < LEAST or not u.isalpha()):
+                    if known := [v for v in found if _has(common, v)]:
+                        rows += [(u, n, v) for v in known]
+                        break
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], names=["unit", "n", "variant"])
+
+    return run
 
 
 def misreadings(vocab: DataFrame) -> DataFrame:
-    """(unit, fix): units that are rare beside what they become by exchanging confused characters."""
-    tried = vocab.mapInArrow(_variants, "unit string, n bigint, variant string")
+    """(unit, fix): units that are rare beside what they become by exchanging confused characters. A unit's second exchange is tried only where
+    the first gives no frequent unit."""
+    common = unit_filter(vocab.filter(F.col("n") >= LEAST).select("unit"))
+    tried = vocab.mapInArrow(_variants(common), "unit string, n bigint, variant string")
     better = tried.join(vocab.select(F.col("unit").alias("variant"), F.col("n").alias("m")), "variant").filter((F.col("m") >= LEAST) & (F.col("m") >= TIMES * F.col("n")))
     return better.groupBy("unit").agg(F.max_by("variant", F.struct("m", "variant")).alias("fix"))
 
 
-def _suspect(unit: str) -> bool:
-    return bool(variants(unit))
+def _asked(bad: bytes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, pos, unit) for the units of each item that may be misread ones."""
+        known: dict[str, bool] = {}
+        for b in batches:
+            rows = []
+            for doc, pos, t in zip(b.column("doc_id").to_pylist(), b.column("pos").to_pylist(), b.column("flat").to_pylist()):
+                for u in units(t):
+                    if u not in known:
+                        if len(known) > 300_000:
+                            known.clear()
+                        known[u] = _has(bad, u)
+                    if known[u]:
+                        rows.append((doc, pos, u))
+            cols = list(zip(*rows)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))], names=["doc_id", "pos", "unit"])
 
+    return run
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, pos, unit) for the units of each item that could be misread."""
-    known: dict[str, bool] = {}
-    for b in batches:
-        rows = []
-        for doc, pos, t in zip(b.column("doc_id").to_pylist(), b.column("pos").to_pylist(), b.column("body").to_pylist()):
-            for u in units(flow(t)):
-                if u not in known:
-                    if len(known) > 300_000:
-                        known.clear()
-                    known[u] = _suspect(u)
-                if known[u]:
-                    rows.append((doc, pos, u))
-        cols = list(zip(*rows)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string()))], names=["doc_id", "pos", "unit"])
+
+def misread(rows: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(doc_id, pos, unit, fix) of the body items that hold misread units."""
+    asked = rows.select("doc_id", "pos", "flat").mapInArrow(_asked(unit_filter(fixes.select("unit"))), "doc_id string, pos int, unit string")
+    return asked.join(fixes, "unit")
+
+
+def vocabulary(rows: DataFrame) -> DataFrame:
+    return stage_table(rows.select("flat").mapInArrow(_counts, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")))
 
 
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bodies = [_without(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
-        tails = [(_TAIL.search(t) or ["", None])[1] for t in bodies]
+        tails = [(_TAIL.search(t[-60:]) or ["", None])[1] if t.rstrip()[-1:] in _MARKS else None for t in bodies]
         heads = [(_HEAD.match(fold(t)) or ["", None])[1] for t in bodies]
-        cut = [bool(_BREAK.search(t)) for t in bodies]
+        cut = [bool(_CUT.search(t) and _BREAK.search(t)) for t in bodies]
+        flat = [flow(t) for t in bodies]
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(n) for n in ("doc_id", "pos", "page_no", "level")), pa.array(bodies, pa.string()), pa.array(tails, pa.string()), pa.array(heads, pa.string()), pa.array(cut, pa.bool_())],
-            names=["doc_id", "pos", "page_no", "level", "body", "tail", "head", "cut"],
+            [*(b.column(n) for n in ("doc_id", "pos", "page_no", "level")), pa.array(bodies, pa.string()), pa.array(tails, pa.string()), pa.array(heads, pa.string()), pa.array(cut, pa.bool_()), pa.array(flat, pa.string())],
+            names=["doc_id", "pos", "page_no", "level", "body", "tail", "head", "cut", "flat"],
         )
 
 
@@ -290,7 +364,7 @@ def bodies(items: DataFrame, found: DataFrame) -> DataFrame:
     """Body items without the furniture lines inside them, and what a word cut at their ends would join."""
     gone = found.filter("line >= 0").groupBy("doc_id", "pos").agg(F.collect_list("line").alias("gone"))
     rest = items.join(found.filter("line = -1").select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").join(gone, ["doc_id", "pos"], "left")
-    rows = rest.mapInArrow(_bodies, "doc_id string, pos int, page_no int, level int, body string, tail string, head string, cut boolean")
+    rows = rest.mapInArrow(_bodies, "doc_id string, pos int, page_no int, level int, body string, tail string, head string, cut boolean, flat string")
     return stage_table(rows)
 
 
@@ -311,10 +385,8 @@ def defects(items: DataFrame) -> DataFrame:
     whole = found.filter("line = -1").select("doc_id", "pos", F.lit("furniture").alias("defect"))
     inside = found.filter("line >= 0").join(whole.select("doc_id", "pos"), ["doc_id", "pos"], "left_anti").select("doc_id", "pos", F.lit("embedded").alias("defect"))
     broken = rows.filter("cut").select("doc_id", "pos").union(next_heads(rows).select("doc_id", "pos")).select("doc_id", "pos", F.lit("broken_word").alias("defect"))
-    vocab = stage_table(rows.select("body").mapInArrow(_counts, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")))
-    asked = rows.select("doc_id", "pos", "body").mapInArrow(_asked, "doc_id string, pos int, unit string")
-    misread = asked.join(misreadings(vocab).select("unit"), "unit", "left_semi").select("doc_id", "pos", F.lit("misread").alias("defect"))
-    return whole.unionByName(inside).unionByName(broken).unionByName(misread).distinct()
+    wrong = misread(rows, stage_table(misreadings(vocabulary(rows)))).select("doc_id", "pos", F.lit("misread").alias("defect"))
+    return whole.unionByName(inside).unionByName(broken).unionByName(wrong).distinct()
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,9 +423,8 @@ def paragraphs(items: DataFrame) -> DataFrame:
     sentence goes on in the next one. Paragraphs are cut where ``AHEAD`` items and more would join."""
     texts = paged(items)
     rows = bodies(texts, stage_table(furniture(texts)))
-    vocab = stage_table(rows.select("body").mapInArrow(_counts, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")))
-    asked = rows.select("doc_id", "pos", "body").mapInArrow(_asked, "doc_id string, pos int, unit string")
-    fixes = asked.join(misreadings(vocab), "unit").groupBy("doc_id", "pos").agg(F.collect_set(F.struct("unit", "fix")).alias("fixes"))
+    vocab = vocabulary(rows)
+    fixes = misread(rows, stage_table(misreadings(vocab))).groupBy("doc_id", "pos").agg(F.collect_set(F.struct("unit", "fix")).alias("fixes"))
     ahead = rows.join(next_heads(rows), ["doc_id", "pos"], "left")
     cut = ahead.filter("cut or next_head is not null").select("doc_id", "pos", "body", "tail", "next_head").mapInArrow(_pairs, "doc_id string, pos int, x string, y string, solid string, hyphened string")
     words = cut.select("x", "y", "solid", "hyphened").distinct()
