@@ -249,6 +249,15 @@ def test_p6_recall_at_the_threshold(spark):
     assert len(want) > 100 and len(want & {tuple(p) for p in neardup.record_pairs(x, neardup.links(x)).collect()}) >= 0.98 * len(want)
 
 
+def test_p6_hot_classes_give_all_pairs(spark):
+    text = "management kept its guidance for the segment margin next year"
+    hot = [(f"h{i:03d}", (text.upper() if i % 3 else text) + "." * (i % 50)) for i in range(230)]  # more than a cell, byte-equal copies too
+    near = [(f"n{i}", text + " again" + "!" * i) for i in range(3)]
+    rows_ = neardup.reduced(spark.createDataFrame(hot + near, "id string, text string"))
+    found = [tuple(r) for r in neardup.record_pairs(rows_, neardup.links(rows_)).collect()]
+    assert len(found) == len(set(found)) and set(found) == set(combinations(sorted(i for i, _ in hot + near), 2))
+
+
 def test_components(spark):
     chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("z1", "z2")], "a string, b string")
     got = {r.node: r.root for r in neardup.components(chain).collect()}
