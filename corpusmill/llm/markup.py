@@ -1,12 +1,14 @@
 """Markup residue in text documents, decided by boosted trees over nodes and decoded over their tree.
 
 A lexer proposes candidate nodes: HTML tags, comments and entities, Markdown, wiki and LaTeX constructs, and any loose run of characters
-that markup uses. Nodes nest (a span in a span; what stands between a tag and its partner), which gives depth and siblings. Features are the
-node's kind and extent, attribute and name tokens, its neighbours, depth, siblings, partner and the density of nodes around it. The trees
-are trained here, on the driver, from ``SAMPLE`` generated labelled texts (a fixed bound); no row of the data is needed for that.
+that markup uses. Nodes form a tree: a span or verbatim node owns what stands in it, an element what stands between its tags. Features are the
+node's kind and extent, attribute and name tokens, its neighbours, depth, owner, siblings under that owner, partner and the density of nodes
+around it and in its own subtree. The trees are trained here, on the driver, from ``SAMPLE`` generated labelled texts (a fixed bound); no row
+of the data is needed for that.
 
-Decoding takes the labels of the whole tree at once, of the greatest total log odds under two constraints: a tag and its partner have one
-label, and what stands inside a verbatim node (code, formula, comment, script) that is markup is its content, not markup of its own.
+Decoding takes the labels of the whole tree at once, of the greatest total log odds under three constraints: a tag and its partner have one
+label; what stands inside a verbatim node (code, formula, comment, script) that is markup is its content, not markup of its own; and a tag
+inside an element that is plain text is plain text.
 
 Cleaning turns markup nodes into text and keeps headings (a line of their own), lists (``- ``), code, tables (pipe rows) and formulas (their
 TeX source). Text without markup is returned unchanged, byte for byte. In rows of type table the pipe rows and the divider are format.
@@ -90,13 +92,14 @@ _BLOCK = set("p div tr table tbody thead ul ol dl h1 h2 h3 h4 h5 h6 br hr sectio
 
 
 class Node:
-    __slots__ = ("kind", "start", "end", "depth", "kids", "partner", "siblings", "parent", "name")
+    __slots__ = ("kind", "start", "end", "depth", "kids", "partner", "siblings", "parent", "name", "owner")
 
     def __init__(self, kind: str, start: int, end: int, depth: int) -> None:
         self.kind, self.start, self.end, self.depth = kind, start, end, depth
         self.kids: list[Node] = []
         self.partner: Node | None = None
-        self.parent: Node | None = None
+        self.parent: Node | None = None  # the span or verbatim node whose extent it stands in
+        self.owner: Node | None = None  # its parent in the tree: ``parent`` or the opening tag of an element, whichever is closer
         self.siblings, self.name = 0, ""
 
 
@@ -112,11 +115,25 @@ def _inside(kind: str, s: str) -> tuple[int, int]:
         return n, len(s.rstrip().rstrip("="))
     if kind == "link":
         return 1, s.index("](")
+    if kind == "fence":
+        return (s.find("\n") + 1 or len(s)), len(s) - 3 * s.endswith("```", 4)
+    if kind in ("pre", "script"):
+        return s.index(">") + 1, s.rindex("<")
+    if kind == "comment":
+        return 4, len(s) - 3 * s.endswith("-->")
+    if kind == "display":
+        return 2, len(s) - 2 * s.endswith("$$", 2)
+    if kind == "bracketmath":
+        return 2, len(s) - 2 * s.endswith(("\\]", "\\)"))
+    if kind == "equation":
+        return s.index("}") + 1, s.rindex("\\end{") if "\\end{" in s else len(s)
+    if kind == "template":
+        return 2, len(s) - 2
     return 1, len(s) - 1
 
 
 def parse(text: str, table: bool = False) -> list[Node]:
-    """All candidate nodes of a text in order of their start, with parents, partners and siblings."""
+    """All candidate nodes of a text in order of their start, with parents, partners, owners in the tree and siblings."""
     out: list[Node] = []
 
     def lex(a: int, z: int, depth: int, parent: Node | None) -> None:
@@ -138,14 +155,18 @@ def parse(text: str, table: bool = False) -> list[Node]:
             out.append(node)
             if parent is not None:
                 parent.kids.append(node)
-            if kind in _SPANS and end - start > 4 and depth < 4:
+            if kind in _VERBATIM and end - start > 2 and depth < 4 or kind in _SPANS and end - start > 4 and depth < 4:
                 a1, z1 = _inside(kind, m[0])
                 lex(start + a1, start + z1, depth + 1, node)
             at = end
 
     lex(0, len(text), 0, None)
-    stack: list[Node] = []
+    stacks: dict[int, list[Node]] = {}  # a tag's partner is never on the other side of a verbatim node's edge
     for n in out:
+        shut = n.parent
+        while shut is not None and shut.kind not in _VERBATIM:
+            shut = shut.parent
+        stack = stacks.setdefault(id(shut), [])
         if n.kind == "tag":
             s = text[n.start : n.end]
             n.name = re.match(r"</?([A-Za-z0-9]+)", s)[1].lower()
@@ -163,11 +184,20 @@ def parse(text: str, table: bool = False) -> list[Node]:
             n.depth += len(stack)
         elif n.kind == "entity":
             n.name = text[n.start + 1 : n.end]
-    counts: dict[str, int] = {}
+    around: list[Node] = []  # elements that are open at the node
+    for n in out:
+        while around and around[-1].partner.start < n.end:
+            around.pop()
+        n.owner = around[-1] if around and (n.parent is None or around[-1].start > n.parent.start) else n.parent
+        if n.partner is not None and n.partner.start < n.start:
+            n.owner = n.partner.owner
+        elif n.partner is not None:
+            around.append(n)
+    counts: dict[tuple[int, str], int] = {}
     for n in out:
-        counts[n.kind] = counts.get(n.kind, 0) + 1
+        counts[id(n.owner), n.kind] = counts.get((id(n.owner), n.kind), 0) + 1
     for n in out:
-        n.siblings = counts[n.kind] - 1
+        n.siblings = counts[id(n.owner), n.kind] - 1
     return out
 
 
@@ -186,15 +216,23 @@ def _class(c: str) -> int:
     return 5 if c in ".,;:。，；：！？!?、%" else 6 if c in "([{（“‘\"'「" else 7
 
 
-N_FEATURES = 27
+N_FEATURES = 29
 
 
 def features(text: str, nodes: list[Node], table: bool) -> list[list[float]]:
-    covered = sum(n.end - n.start for n in nodes if n.parent is None)
-    density = covered / max(1, len(text))
-    heavy = sum(n.kind not in ("loose", "bracket", "brace") for n in nodes)
+    # of each subtree (0: the whole text): its extent, what its own nodes cover of it, its nodes and those that are no loose signs
+    extent, covered, under, heavies = {id(None): len(text)}, {id(None): 0}, {id(None): 0}, {id(None): 0}
+    for n in nodes:
+        extent[id(n)], covered[id(n)], under[id(n)], heavies[id(n)] = (n.partner.start - n.end if n.partner is not None and n.start < n.partner.start else n.end - n.start), 0, 0, 0
+    for n in reversed(nodes):  # what a node owns comes after it
+        o = id(n.owner)
+        covered[o] += n.end - n.start
+        under[o] += under[id(n)] + 1
+        heavies[o] += heavies[id(n)] + (n.kind not in ("loose", "bracket", "brace"))
     out = []
     for n in nodes:
+        density, heavy = covered[id(n.owner)] / max(1, extent[id(n.owner)]), heavies[id(n.owner)]
+        top = n.partner if n.partner is not None and n.partner.start < n.start else n
         s = text[n.start : n.end]
         before, after = text[n.start - 1 : n.start], text[n.end : n.end + 1]
         inner = re.sub(r"^[<>&#*_`~\[\]{}|\\$=^!'/\s]+|[<>&#*_`~\[\]{}|\\$=^!'/;\s]+$", "", s)
@@ -208,27 +246,38 @@ def features(text: str, nodes: list[Node], table: bool) -> list[list[float]]:
             _KIND_NO[n.kind], len(s), n.start == line_a, n.end == line_z, _class(before), _class(after), len(inner), letters / max(1, len(inner)),
             sum(c.isdigit() for c in inner) / max(1, len(inner)), " " in inner.strip(), s.count("=") + s.count("{"), known, n.partner is not None, n.depth, min(n.siblings, 20),
             density, min(heavy, 30), np.log1p(len(text)), table, not rest, _class(inner[:1]), _class(inner[-1:]), n.start == 0, n.end == len(text), ord(s[0]), len(set(s)), 0 < len(prev_line) < 60,
+            -1 if n.owner is None else _KIND_NO[n.owner.kind], under[id(top)] / max(1, extent[id(top)]),
         ])
     return out
 
 
 def decode(nodes: list[Node], logits: np.ndarray) -> list[bool]:
-    """The labels of greatest total log odds under the constraints."""
+    """The labels of greatest total log odds under the constraints: a tag and its partner have one label; nothing inside a verbatim node that
+    is markup is markup; a tag inside an element that is plain text is plain text. One pass up the tree and one down, no recursion."""
     odds = {id(n): float(x) for n, x in zip(nodes, logits)}
-    for n in nodes:  # partners decide together
-        if n.partner is not None and n.start < n.partner.start:
-            both = odds[id(n)] + odds[id(n.partner)]
-            odds[id(n)] = odds[id(n.partner)] = both / 2
+    closing = {id(n) for n in nodes if n.partner is not None and n.partner.start < n.start}
+    heads = [n for n in nodes if id(n) not in closing]  # a closing tag is decided with its opening one
+    for n in heads:
+        if n.partner is not None:
+            odds[id(n)] += odds[id(n.partner)]
+    # best total of what a node owns, and of the node: [free, inside an element that is plain text]
+    below = {id(n): [0.0, 0.0] for n in nodes} | {id(None): [0.0, 0.0]}
+    yes: dict[int, list[bool]] = {}
+    for n in reversed(heads):
+        own, o = below[id(n)], below[id(n.owner)]
+        yes[id(n)] = []
+        for plain in (0, 1):
+            take = odds[id(n)] + (0.0 if n.kind in _VERBATIM else own[plain])
+            leave = own[1 if n.partner is not None else plain]
+            yes[id(n)].append(take > leave and not (plain and n.kind == "tag"))
+            o[plain] += take if yes[id(n)][plain] else leave
+    state: dict[int, int | None] = {id(None): 0}  # for what a node owns: 0 free, 1 in plain text, None in verbatim markup
     label: dict[int, bool] = {}
-    best: dict[int, float] = {}
-    for n in reversed(nodes):  # children come after their parent
-        kids = sum(best[id(k)] for k in n.kids)
-        yes, no = odds[id(n)] + (0.0 if n.kind in _VERBATIM else kids), kids
-        label[id(n)], best[id(n)] = yes > no, max(yes, no)
-    for n in nodes:
-        if n.parent is not None and (label[id(n.parent)] and n.parent.kind in _VERBATIM or label.get(id(n.parent)) is None):
-            label[id(n)] = False
-    return [label[id(n)] for n in nodes]
+    for n in heads:
+        at = state[id(n.owner)]
+        y = label[id(n)] = at is not None and yes[id(n)][at]
+        state[id(n)] = None if at is None or y and n.kind in _VERBATIM else 1 if not y and n.partner is not None else at
+    return [label[id(n.partner if id(n) in closing else n)] for n in nodes]
 
 
 # ---- training texts ----
@@ -293,7 +342,8 @@ def _honest(r: random.Random, zh: bool) -> tuple[str, bool]:
 
 
 def training(size: int = SAMPLE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the nodes of generated texts; a node is markup if it overlaps an inserted piece of markup."""
+    """Features and labels of the nodes of generated texts; a node is markup if it overlaps an inserted piece of markup and is not the content of
+    a verbatim node that does."""
     r = random.Random(seed)
     rows, labels = [], []
     for _ in range(size):
@@ -333,7 +383,11 @@ def training(size: int = SAMPLE, seed: int = 7) -> tuple[np.ndarray, np.ndarray]
                 text = text.strip("\n")
         nodes = parse(text, table)
         rows += features(text, nodes, table)
-        labels += [any(x < n.end and n.start < y for x, y in marked) for n in nodes]
+        shut: dict[int, bool] = {id(None): False}  # inside verbatim markup nothing is markup of its own
+        for n in nodes:
+            hit = any(x < n.end and n.start < y for x, y in marked)
+            labels.append(hit and not shut[id(n.parent)])
+            shut[id(n)] = shut[id(n.parent)] or hit and n.kind in _VERBATIM
     return np.array(rows, float).reshape(-1, N_FEATURES), np.array(labels, float)
 
 

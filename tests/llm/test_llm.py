@@ -4,7 +4,7 @@ import random
 import re
 import unicodedata
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, product
 
 import numpy as np
 import pandas as pd
@@ -188,6 +188,36 @@ def test_decoding_is_consistent():
                 assert not y
 
 
+def test_decoding_is_the_best_labelling_of_the_tree():
+    def allowed(nodes, label):
+        at = {id(n): y for n, y in zip(nodes, label)}
+        if any(n.partner is not None and at[id(n)] != at[id(n.partner)] for n in nodes):
+            return False
+        for n in nodes:
+            o = n.owner
+            while at[id(n)] and o is not None:
+                if o.kind in markup._VERBATIM and at[id(o)] or n.kind == "tag" and o.partner is not None and not at[id(o)]:
+                    return False
+                o = o.owner
+        return True
+
+    rng = np.random.default_rng(1)
+    for text in ("`a <i>b</i> *c*` text", "<b>x <i>y &amp; z</i></b> <br>", "<div>$x <b>y</b>$ **z <u>w</u>**</div>"):
+        nodes = markup.parse(text)
+        assert any(n.owner is not None for n in nodes) and len(nodes) < 11
+        options = [x for x in product([False, True], repeat=len(nodes)) if allowed(nodes, x)]
+        for _ in range(40):
+            odds = rng.normal(size=len(nodes)) * 3
+            got = tuple(bool(y) for y in markup.decode(nodes, odds))
+            assert got in options and np.isclose(np.dot(got, odds), max(np.dot(x, odds) for x in options))
+
+
+def test_markup_tree_has_elements_and_verbatim_content():
+    text = "<p>a <b>b</b></p> `c <i>d</i>`"
+    owner = {text[n.start : n.end]: n.owner and text[n.owner.start : n.owner.end] for n in markup.parse(text)}
+    assert owner["<b>"] == owner["</b>"] == "<p>" and owner["<p>"] is None and owner["<i>"] == owner["</i>"] == "`c <i>d</i>`"
+
+
 def test_p4_edges(spark):
     df = spark.createDataFrame([("t", "1", None, None, "x", 1), ("t", "2", "", "text", "x", 1), ("t", "3", "<b>a</b>", None, "x", 1), ("t", "4", "word " * 60_000 + "<b>a</b>", "text", "x", 1)], "tbl string, row_key string, text string, kind string, kinds string, n_nodes int")
     assert {r.row_key for r in markup.cleaned(df).collect()} == {"3", "4"} and markup.cleaned(df, all_rows=True).count() == 4 and markup.cleaned(df.limit(0)).count() == 0
