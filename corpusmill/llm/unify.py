@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage_table
+from .classes import BLOCK, between, inside
 from .textkit import SUSPECT, WORD, fold, latin, shape
 
-#: Up to this many members of a look-alike class all pairs are given; beyond, each member is paired with the first of every other spelling.
-FULL_CLASS = 200
-
 
 def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -135,19 +133,14 @@ def _folded_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def class_pairs(members: DataFrame, full: int = FULL_CLASS) -> DataFrame:
-    """(key_a, key_b) for members ``(key, look, raw)`` that share ``look`` and differ in ``raw``, the smaller key first. Classes of one
-    spelling are dropped before the join, which AQE splits where a class is hot. In classes beyond ``full`` members a member is paired
-    with the first member of every other spelling, so each two spellings stay linked and copies are not multiplied."""
+def class_pairs(members: DataFrame, full: int = BLOCK) -> DataFrame:
+    """(key_a, key_b) for all members ``(key, look, raw)`` that share ``look`` and differ in ``raw``, the smaller key first. Classes of one
+    spelling are dropped before the joins. Spellings are paired first, then their members, so copies of a spelling are never compared;
+    hot looks and spellings are dealt into cells of about ``full``."""
     members = members.distinct()
-    classes = members.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count("*").alias("n")).filter("lo < hi").select("look", "n")
-    inside = members.join(classes, "look")
-    firsts = inside.groupBy("look", "raw", "n").agg(F.min("key").alias("key")).filter(F.col("n") > full)
-    small = inside.filter(F.col("n") <= full)
-    a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.key") < F.col("b.key"))).select(F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b"))
-    a, b = inside.filter(F.col("n") > full).alias("a"), firsts.alias("b")
-    star = a.join(b, (F.col("a.look") == F.col("b.look")) & (F.col("a.raw") != F.col("b.raw")) & (F.col("a.key") != F.col("b.key"))).select(
-        F.least("a.key", "b.key").alias("key_a"), F.greatest("a.key", "b.key").alias("key_b")
-    )
-    return pairs.unionByName(star).distinct()
+    classes = members.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo < hi").select("look")
+    several = members.join(classes, "look")
+    own = several.select("look", F.struct("look", "raw").alias("cls"), F.col("key").alias("member"))
+    spellings = own.select(F.col("look").alias("cls"), F.col("cls").alias("member")).distinct()
+    pairs = between(inside(spellings, full), own.select("cls", "member"), full)
+    return pairs.filter("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()

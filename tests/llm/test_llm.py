@@ -79,6 +79,13 @@ def test_hot_look_classes_stay_linked(spark):
     assert star <= full and {x for p in star for x in p} == {f"k{i:03d}" for i in range(60)}
 
 
+def test_hot_look_classes_give_all_pairs(spark):
+    hot = [(f"k{i:03d}", b"L", bytes([i % 3])) for i in range(210)] + [(f"s{i:03d}", b"S", bytes([i])) for i in range(205)] + [("o1", b"O", b"x"), ("o2", b"O", b"x")]
+    found = [tuple(r) for r in unify.class_pairs(spark.createDataFrame(hot, "key string, look binary, raw binary")).collect()]
+    want = {(a[0], b[0]) for a, b in combinations(sorted(hot), 2) if a[1] == b[1] and a[2] != b[2]}
+    assert len(found) == len(want) == 3 * 70 * 70 + 205 * 102 and set(found) == want
+
+
 # ---- 2
 
 
