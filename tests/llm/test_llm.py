@@ -286,6 +286,16 @@ def test_p6_recall_at_the_threshold(spark):
     assert len(want) > 100 and len(want & {tuple(p) for p in neardup.record_pairs(x, neardup.links(x)).collect()}) >= 0.98 * len(want)
 
 
+def test_p6_no_pair_that_is_met_is_screened_out(spark):
+    r = random.Random(20724)  # of 0.655, with a key in common; a sketch of one bit a minimum would tell them apart
+    t = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(100)]
+    u = list(t)
+    for k in r.sample(range(100), 4):
+        u[k] = "x"
+    x = neardup.reduced(spark.createDataFrame([("a", "".join(t)), ("b", "".join(u))], "id string, text string"))
+    assert [tuple(p) for p in neardup.record_pairs(x, neardup.links(x)).collect()] == [("a", "b")]
+
+
 def test_p6_hot_classes_give_all_pairs(spark):
     text = "management kept its guidance for the segment margin next year"
     hot = [(f"h{i:03d}", (text.upper() if i % 3 else text) + "." * (i % 50)) for i in range(230)]  # more than a cell, byte-equal copies too
