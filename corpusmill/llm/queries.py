@@ -21,7 +21,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").filter("text <> ''").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("key"), F.col("chunk_id"), (F.col("parent_id") != "").alias("child"), "text")
     hits = table(spark, sf_dir, "fused_children").filter("text <> ''").select(F.lit("fused_children").alias("tbl"), F.col("hit_id").alias("key"), F.col("chunk_id"), F.lit(False).alias("child"), "text")
     both = chunks.unionByName(hits)
-    seen = unify.looks(both, ["tbl", "key", "chunk_id", "child"], both.select("text"))
+    seen = unify.looks(both, ["tbl", "key", "chunk_id", "child"])
     own = seen.filter("tbl = 'chunks'")
     pairs = unify.class_pairs(own.filter("child").select("key", "look", "raw")).withColumn("tbl", F.lit("chunks"))
     hit, chunk = seen.filter("tbl = 'fused_children'").select("key", "chunk_id", "look", "raw").alias("h"), own.select("chunk_id", "look", "raw").distinct().alias("c")
@@ -36,7 +36,7 @@ def p1_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = table(spark, sf_dir, "chunks").select(F.lit("chunks").alias("tbl"), F.col("chunk_id").alias("row_key"), "text")
     hits = table(spark, sf_dir, "fused_children").select(F.lit("fused_children").alias("tbl"), F.col("hit_id").alias("row_key"), "text")
     both = chunks.unionByName(hits).dropDuplicates(["tbl", "row_key", "text"])
-    return unify.unify(both, ["tbl", "row_key"], both.select("text"))
+    return unify.unify(both, ["tbl", "row_key"])
 
 
 @query(

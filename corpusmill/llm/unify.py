@@ -1,10 +1,14 @@
 """Visually identical text with different characters: script-aware repair.
 
-Every text is folded (width, composition, invisible characters, blanks, presentation forms). In the folded text a token is suspect if it
-holds a letter of another script that looks Latin; its reading in its dominant script (Latin) is taken only if that reading occurs, spelt
-cleanly, in the corpus vocabulary. The vocabulary is every clean token of every text; it is never collected: suspect tokens' readings meet
-it in a shuffle join. Comparison keys are hashes of the repaired text; a suspect token whose reading nobody spells cleanly keeps its
-letters in the text but enters the key by its shape, since two such tokens still look the same.
+Every text is folded (width, composition, invisible characters, blanks, presentation forms). In the folded text each token with letters beyond
+plain Latin gets a dominant script: the one with most letters that no other script has in that shape, then the one with most letters, then the
+script of the rest of its text. A token of mixed scripts is suspect; its readings are the token with all other letters replaced by look-alikes
+of the dominant script, then of its other scripts. A token made wholly of look-alikes counts as mixed where the rest of its text is written in
+another script (Latin if nothing tells). The first reading that the corpus vocabulary attests, whatever its case, replaces the token; a token
+without an attested reading stays as it is, in the text and in the comparison key, which is the hash of the repaired text.
+
+The vocabulary is every token of every text that is not suspect. It is found in the same pass that folds the texts and never collected: readings
+meet it in a shuffle join. Copies of a text are repaired once.
 
 Nulls and empty texts give ''; they are no pairs. Exact repeats of a row count once. Very long texts are folded whole. Other columns are
 not read, so clashing names do no harm.
@@ -13,134 +17,186 @@ not read, so clashing names do no harm.
 from __future__ import annotations
 
 import hashlib
+import re
+from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import stage_table
 from .classes import BLOCK, between, inside
-from .textkit import SUSPECT, WORD, fold, latin, shape
+from .textkit import LOOKALIKE, WORD, fold
+
+# More letters of a Latin letter's shape; they are too common in symbols to be read as Latin without a vocabulary.
+_MORE = dict(zip("νριυѵոսհց", "vpiuvnuhg"))
+_SKELETON = {chr(a): chr(b) for a, b in LOOKALIKE.items()} | _MORE
+_RANGES = {"latin": "A-Za-zÀ-ÖØ-öø-ɏ", "greek": "Ͱ-Ͽ", "cyrillic": "Ѐ-ԯ", "armenian": "Ա-ֆ", "cherokee": "Ꭰ-᏿"}
+_OF = {s: re.compile(f"[{r}]") for s, r in _RANGES.items()}
+_BEYOND = re.compile("[ɑɡͰ-ϿЀ-ԯԱ-ֆᎠ-᏿]")
+#: For each script, its letter of a Latin letter's shape.
+_LETTER: dict[str, dict[str, str]] = {s: {} for s in _RANGES}
+for _c, _l in _SKELETON.items():
+    for _s, _p in _OF.items():
+        if _p.match(_c):
+            _LETTER[_s].setdefault(_l, _c)
+_LETTER["latin"] = {c: c for c in _SKELETON.values()}
+SUSPECTS = "array<struct<token: string, readings: array<string>>>"
+_SUSPECTS = pa.list_(pa.struct([("token", pa.string()), ("readings", pa.list_(pa.string()))]))
 
 
 def digest(text: str) -> bytes:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        raw, text, suspects, key = [], [], [], []
-        for t in b.column("text").to_pylist():
-            f = fold(t)
-            found = sorted({x for x in SUSPECT.findall(f) if latin(x)}) if not f.isascii() else []
-            raw.append(digest(t or ""))
-            suspects.append(found)
-            text.append(f if found else None)
-            key.append(None if found else digest(f))
-        cols = [b.column(i) for i, n in enumerate(b.schema.names) if n != "text"]
-        names = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(raw, pa.binary()), pa.array(key, pa.binary()), pa.array(text, pa.string()), pa.array(suspects, pa.list_(pa.string()))],
-            names=[*names, "raw", "look", "folded", "suspects"],
-        )
-
-
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[str] = set()
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            if t:
-                seen.update(x for x in WORD.findall(fold(t)) if not SUSPECT.fullmatch(x))
-        if len(seen) > 200_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
-            seen.clear()
-    if seen:
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["token"])
-
-
-def vocabulary(texts: DataFrame) -> DataFrame:
-    """Distinct clean tokens of a one-column frame of texts, each partition's already reduced before the shuffle."""
-    return texts.mapInArrow(_tokens, "token string").distinct()
-
-
-def _latin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@cache
+def _script(c: str) -> str:
+    return next((s for s, p in _OF.items() if p.match(c)), "")
+
+
+@cache
+def _ambiguous(c: str) -> bool:
+    """Whether another script has a letter of the same shape."""
+    own, plain = _script(c), _SKELETON.get(c, c)
+    return not own or any(plain in letters for s, letters in _LETTER.items() if s != own)
+
+
+def _as(token: str, script: str) -> str | None:
+    """The token in letters of one script; None if a letter has no look-alike there."""
+    out = []
+    for c in token:
+        if c.isalpha() and _script(c) != script:
+            c = _LETTER[script].get(_SKELETON.get(c, c), "")
+            if not c:
+                return None
+        out.append(c)
+    return "".join(out)
+
+
+def scripts_of(token: str, around: str = "latin") -> list[str]:
+    """The scripts of a token's letters, the dominant one first. ``around``: the script of the rest of the text."""
+    letters = [c for c in token if c.isalpha()]
+    every = Counter(_script(c) for c in letters)
+    sure = Counter(_script(c) for c in letters if not _ambiguous(c))
+    every.pop("", None)
+    return sorted(every, key=lambda s: (-sure[s], -every[s], s != around, s))
+
+
+def readings(token: str, around: str) -> list[str]:
+    """What a suspect token may stand for, likeliest first; empty if it is not suspect."""
+    own = scripts_of(token, around)
+    mixed = len(own) > 1 or any(c.isalpha() and not _script(c) for c in token)
+    if not mixed:
+        if not own or own[0] == around or not all(_ambiguous(c) for c in token if c.isalpha()) or len(token) == 1 and "α" <= token <= "ϲ":
+            return []
+        own = [around]
+    return list(dict.fromkeys(r for s in own or ["latin"] if (r := _as(token, s)) and r != token))
+
+
+def examine(text: str) -> tuple[list[dict], list[str]]:
+    """The suspect tokens of a folded text with their readings, and its other tokens in lower case."""
+    if text.isascii() or not _BEYOND.search(text):
+        return [], WORD.findall(text.lower())
+    tokens = dict.fromkeys(WORD.findall(text))
+    weight: Counter[str] = Counter()
+    for t in tokens:
+        if not _BEYOND.search(t):
+            weight["latin"] += sum(map(str.isalpha, t))
+        elif any(not _ambiguous(c) for c in t):
+            weight[scripts_of(t)[0]] += len(t)
+    around = max(weight, key=lambda s: (weight[s], s == "latin")) if weight else "latin"
+    suspects, clean = [], []
+    for t in tokens:
+        if found := readings(t, around) if _BEYOND.search(t) else []:
+            suspects.append({"token": t, "readings": found})
+        else:
+            clean.append(t.lower())
+    return suspects, clean
+
+
+def _scan(whole: bool):
+    """Rows of texts (keys, raw, fid, folded, suspects), and of tokens (token) for the vocabulary, distinct within stretches of the task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        layout: pa.Schema | None = None
+        for b in batches:
+            raw, fid, text, suspects = [], [], [], []
+            for t in b.column("text").to_pylist():
+                f = fold(t)
+                odd, clean = examine(f)
+                seen.update(clean)
+                raw.append(digest(t or ""))
+                fid.append(raw[-1] if f is t else digest(f))
+                text.append(f if odd or whole else None)
+                suspects.append(odd)
+            names = [n for n in b.schema.names if n != "text"]
+            cols = [*(b.column(n) for n in names), pa.array(raw, pa.binary()), pa.array(fid, pa.binary()), pa.array(text, pa.string()), pa.array(suspects, _SUSPECTS), pa.nulls(len(raw), pa.string())]
+            out = pa.RecordBatch.from_arrays(cols, names=[*names, "raw", "fid", "folded", "suspects", "token"])
+            layout = out.schema
+            yield out
+            if len(seen) > 200_000:
+                yield _tokens(seen, layout)
+                seen.clear()
+        if seen and layout is not None:
+            yield _tokens(seen, layout)
+
+    return run
+
+
+def _tokens(seen: set[str], layout: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(seen), f.type) if f.name == "token" else pa.nulls(len(seen), f.type) for f in layout], schema=layout)
+
+
+def _replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tokens = b.column(0).to_pylist()
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([latin(t) for t in tokens], pa.string())], names=["token", "reading"])
-
-
-def readings(suspects: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(token, reading) for those of the distinct suspect tokens whose Latin reading is in the vocabulary."""
-    want = suspects.select("token").distinct().mapInArrow(_latin, "token string, reading string")
-    return want.join(vocab.select(F.col("token").alias("reading")), "reading", "left_semi").select("token", "reading")
-
-
-def _repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out, look = [], []
+        out = []
         for text, known in zip(b.column("folded").to_pylist(), b.column("known").to_pylist()):
-            known = {x["token"]: x["reading"] for x in known or []}
-            t = SUSPECT.sub(lambda m: known.get(m[0], m[0]), text)
-            out.append(t)
-            look.append(digest(shape(t)))
-        cols = [b.column(i) for i, n in enumerate(b.schema.names) if n not in ("folded", "known")]
-        names = [n for n in b.schema.names if n not in ("folded", "known")]
-        yield pa.RecordBatch.from_arrays([*cols, pa.array(out, pa.string()), pa.array(look, pa.binary())], names=[*names, "text", "look"])
+            by = {x["token"]: x["reading"] for x in known}
+            out.append(WORD.sub(lambda m: by.get(m[0], m[0]), text))
+        yield pa.RecordBatch.from_arrays([b.column("fid"), pa.array(out, pa.string()), pa.array(list(map(digest, out)), pa.binary())], names=["fid", "text", "look"])
 
 
-def looks(df: DataFrame, keys: list[str], corpus: DataFrame) -> DataFrame:
-    """``keys`` and, for each row's ``text``: ``raw`` (hash of the stored string), ``look`` (hash of its consistent form). Only rows with
-    suspect tokens carry their text through the repair join."""
-    folded = stage_table(df.mapInArrow(_folded, _schema(df, keys, "raw binary, look binary, folded string, suspects array<string>")))
-    plain = folded.filter("look is not null").select(*keys, "raw", "look")
-    pending = folded.filter("look is null")
-    fixed = _repair(pending, keys, corpus)
-    return plain.unionByName(fixed.select(*keys, "raw", "look"))
+def _repaired(scanned: DataFrame) -> DataFrame:
+    """(fid, text, look) of the folded texts in which a token has an attested reading."""
+    vocab = scanned.filter("token is not null").select(F.col("token").alias("word")).distinct()
+    texts = scanned.filter(F.size("suspects") > 0).groupBy("fid").agg(F.first("folded").alias("folded"), F.first("suspects").alias("suspects"))
+    tokens = texts.select("fid", F.explode("suspects").alias("s")).select("fid", "s.token", "s.readings")
+    tried = tokens.select("token", "readings").distinct().select("token", "readings", F.posexplode("readings").alias("at", "reading"))
+    attested = tried.join(vocab, F.lower("reading") == F.col("word"), "left_semi").groupBy("token", "readings").agg(F.min_by("reading", "at").alias("reading"))
+    known = tokens.join(attested, ["token", "readings"]).groupBy("fid").agg(F.collect_list(F.struct("token", "reading")).alias("known"))
+    return texts.join(known, "fid").mapInArrow(_replaced, "fid binary, text string, look binary")
 
 
-def _schema(df: DataFrame, keys: list[str], more: str) -> str:
-    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", " + more
+def _scanned(df: DataFrame, keys: list[str], whole: bool) -> DataFrame:
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return stage_table(df.select(*keys, "text").mapInArrow(_scan(whole), f"{schema}, raw binary, fid binary, folded string, suspects {SUSPECTS}, token string"))
 
 
-def _repair(pending: DataFrame, keys: list[str], corpus: DataFrame) -> DataFrame:
-    tokens = pending.select(*keys, "raw", F.explode("suspects").alias("token"))
-    map_ = readings(tokens, vocabulary(corpus))
-    id_ = [*keys, "raw"]
-    known = tokens.distinct().join(map_, "token").groupBy(*id_).agg(F.collect_list(F.struct("token", "reading")).alias("known"))
-    p, k = pending.alias("p"), known.alias("k")
-    same = reduce(lambda x, y: x & y, [F.col(f"p.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in id_])
-    rows = p.join(k, same, "left").select(*[F.col(f"p.`{c}`").alias(c) for c in id_], "p.folded", "k.known")
-    return rows.mapInArrow(_repaired, _schema(rows, id_, "text string, look binary"))
+def looks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and, for each row's ``text``: ``raw`` (hash of the stored string), ``look`` (hash of its consistent form). Written once."""
+    scanned = _scanned(df, keys, False)
+    rows = scanned.filter("token is null").select(*keys, "raw", "fid", (F.size("suspects") > 0).alias("odd"))
+    fixed = rows.filter("odd").join(_repaired(scanned).select("fid", "look"), "fid", "left")
+    return stage_table(rows.filter("not odd").select(*keys, "raw", F.col("fid").alias("look")).unionByName(fixed.select(*keys, "raw", F.coalesce("look", "fid").alias("look"))))
 
 
-def unify(df: DataFrame, keys: list[str], corpus: DataFrame) -> DataFrame:
-    """``keys``, ``raw`` and ``text`` in its one consistent form, for every row of ``df(keys..., text)``."""
-    pending_or_not = df.mapInArrow(_folded_all, _schema(df, keys, "raw binary, folded string, suspects array<string>"))
-    staged = stage_table(pending_or_not)
-    clean = staged.filter(F.size("suspects") == 0).select(*keys, F.col("folded").alias("text"))
-    return clean.unionByName(_repair(staged.filter(F.size("suspects") > 0), keys, corpus).select(*keys, "text"))
-
-
-def _folded_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        text = [fold(t) for t in b.column("text").to_pylist()]
-        suspects = [sorted({x for x in SUSPECT.findall(f) if latin(x)}) if not f.isascii() else [] for f in text]
-        names = [n for n in b.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays(
-            [*(b.column(n) for n in names), pa.array([digest(f) for f in text], pa.binary()), pa.array(text, pa.string()), pa.array(suspects, pa.list_(pa.string()))],
-            names=[*names, "raw", "folded", "suspects"],
-        )
+def unify(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and ``text`` in its one consistent form, for every row of ``df(keys..., text)``."""
+    scanned = _scanned(df, keys, True)
+    rows = scanned.filter("token is null")
+    odd = rows.filter(F.size("suspects") > 0).select(*keys, "fid", "folded").join(_repaired(scanned).select("fid", "text"), "fid", "left")
+    return rows.filter(F.size("suspects") == 0).select(*keys, F.col("folded").alias("text")).unionByName(odd.select(*keys, F.coalesce("text", "folded").alias("text")))
 
 
 def class_pairs(members: DataFrame, full: int = BLOCK) -> DataFrame:
     """(key_a, key_b) for all members ``(key, look, raw)`` that share ``look`` and differ in ``raw``, the smaller key first. Classes of one
     spelling are dropped before the joins. Spellings are paired first, then their members, so copies of a spelling are never compared;
     hot looks and spellings are dealt into cells of about ``full``."""
-    members = members.distinct()
     classes = members.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).filter("lo < hi").select("look")
-    several = members.join(classes, "look")
-    own = several.select("look", F.struct("look", "raw").alias("cls"), F.col("key").alias("member"))
+    several = members.join(classes, "look", "left_semi").distinct()
+    own = stage_table(several.select("look", F.struct("look", "raw").alias("cls"), F.col("key").alias("member")))
     spellings = own.select(F.col("look").alias("cls"), F.col("cls").alias("member")).distinct()
     pairs = between(inside(spellings, full), own.select("cls", "member"), full)
     return pairs.filter("x <> y").select(F.least("x", "y").alias("key_a"), F.greatest("x", "y").alias("key_b")).distinct()
