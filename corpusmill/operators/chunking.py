@@ -4,21 +4,28 @@ A parent is a run of units of one section: it closes at a heading of the same or
 bound, and at tables and images, which are parents of their own. A run of headings alone goes to the block after it. Children are cut from a
 parent's body at the coarsest separator that fits, separators stay with the piece before them, and each child but the first starts with
 the tail of the one before, aligned to a sentence end where one is near.
+
+The pass numbers the units by the block they open or go on, groups them by that number and cuts each block; with ``cleaning.tidy`` before it in
+the same walk, raw items become chunks in one shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from itertools import groupby
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from . import cleaning
 from .folds import ordered
 
 TARGET, CHILD, OVERLAP, TOLERANCE = 1500, 450, 50, 10
 LOW, HIGH = round(TARGET * 0.8), round(TARGET * 1.2)
 GAP = "\n\n"
-# Separators from coarse to fine.
+# Separators from coarse to fine, signs that stay with the piece before them, and what ends a sentence.
 SEPARATORS = ("\n\n", "\n", "。！？；")
 _STAYS = re.compile(r"^[。！？；…\n」』”）)\]】\"]+")
 _SENTENCE = re.compile(r"[。！？；…]+[」』”）)\]】\"]*")
@@ -75,125 +82,124 @@ def pieces(body: str, size: int) -> list[tuple[str, int]]:
 
 
 def tail(prev: str, overlap: int = OVERLAP) -> str:
-    """The end of a piece that the next one repeats: from a sentence end where that leaves enough, else the whole window."""
-    if overlap <= 0 or len(prev) <= overlap:
+    """The end of a piece that the next one repeats: its last ``overlap`` characters, from the first sentence end if that lies within
+    ``TOLERANCE`` of their start; nothing of a piece that short."""
+    if not 0 < overlap < len(prev):
         return ""
     window = prev[-overlap:]
-    rest = [len(window) - m.end() for m in _SENTENCE.finditer(window) if len(window) - m.end() >= overlap - TOLERANCE]
-    return (window[-max(rest) :] if rest else window).strip()
+    end = _SENTENCE.search(window)
+    return (window[end.end() :] if end and end.end() <= TOLERANCE else window).strip()
+
+
+class Unit(NamedTuple):
+    """What is cut: a clean item."""
+
+    type: str
+    text: str
+    heading_path: str | None
+    page_no: int | None
+    level: int | None
+    image_path: str | None
+
+    @property
+    def alone(self) -> bool:
+        return self.level is None and self.type in ("table", "image")
 
 
 def page_at(starts: list[tuple[int, int | None]], pos: int) -> int | None:
     """The page of the last unit that starts at or before a position."""
-    page = None
-    for start, p in starts:
-        if start > pos:
-            break
-        page = p
-    return page
-
-
-def blocks(rows: Iterable[dict], high: int = HIGH) -> Iterator[list[dict]]:
-    """Runs of units that make parents, headings alone handed on to the next run."""
-    pending: list[dict] = []
-
-    def close(block: list[dict]) -> Iterator[list[dict]]:
-        nonlocal pending
-        if all(u["level"] is not None for u in block):
-            if pending:
-                yield pending
-            pending = block
-            return
-        if pending and block[0]["level"] is None:
-            yield [*pending, *block]
-        else:
-            if pending:
-                yield pending
-            yield block
-        pending = []
-
-    run: list[dict] = []
-    size, level = 0, None
-    for u in rows:
-        if not u["text"]:
-            continue
-        if u["level"] is not None and u["type"] == "text":
-            if run and (level is None or u["level"] <= level):
-                yield from close(run)
-                run, size = [], 0
-            level = u["level"]
-        elif u["type"] in ("table", "image"):
-            if run:
-                yield from close(run)
-            yield from close([u])
-            run, size = [], 0
-            continue
-        elif run and size + len(u["text"]) > high:
-            yield from close(run)
-            run, size = [], 0
-        run.append(u)
-        size += len(u["text"])
-    if run:
-        yield from close(run)
-    if pending:
-        yield pending
+    at = bisect_right(starts, pos, key=lambda s: s[0])
+    return starts[at - 1][1] if at else None
 
 
-def chunks_of(doc_id: str, rows: Iterable[dict], child: int = CHILD, high: int = HIGH, overlap: int = OVERLAP) -> Iterator[dict]:
-    """Parents and their children in order."""
+def numbered(units: Iterable[Unit], high: int = HIGH) -> Iterator[tuple[int, Unit]]:
+    """Units with the number of their block. A heading opens one unless it is deeper than the heading before it, a unit that stands alone opens
+    and seals one, other units open one where the block would pass ``high``."""
+    block, filled, sealed, depth = 0, 0, True, None
+    for u in units:
+        if not u.text:
+            continue
+        if u.level is not None:
+            fresh = sealed or depth is None or u.level <= depth
+            depth = u.level
+        else:
+            fresh = sealed or u.alone or filled + len(u.text) > high
+        block, filled, sealed = block + fresh, len(u.text) + (0 if fresh else filled), u.alone
+        yield block, u
+
+
+def blocks(units: Iterable[Unit], high: int = HIGH) -> Iterator[list[Unit]]:
+    """Runs of units that make parents. Headings alone are held until a block comes that does not begin with a heading of its own."""
+    held: list[Unit] = []
+    for _, run in groupby(numbered(units, high), lambda x: x[0]):
+        block = [u for _, u in run]
+        title_only = all(u.level is not None for u in block)
+        if held and (title_only or block[0].level is not None):
+            yield held
+            held = []
+        held = held + block
+        if not title_only:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def chunks_of(doc_id: str, units: Iterable[Unit], child: int = CHILD, high: int = HIGH, overlap: int = OVERLAP) -> Iterator[tuple]:
+    """Parents and their children in order, as rows of ``CHUNK``."""
     n = 0
-    for block in blocks(rows, high):
-        body = [u for u in block if u["level"] is None]
-        kind = body[0]["type"] if len(body) == 1 and body[0]["type"] in ("table", "image") else "text"
-        head = GAP.join(u["text"] for u in block if u["level"] is not None)
-        core, starts = "", []
+    for block in blocks(units, high):
+        titles, body = [u.text for u in block if u.level is not None], [u for u in block if u.level is None]
+        first, head = block[0], GAP.join(titles)
+        kind = body[0].type if len(body) == 1 and body[0].alone else "text"
+        path = first.heading_path if first.level is None else " > ".join(x for x in (first.heading_path, first.text) if x)
+        image = body[0].image_path if kind == "image" else None
+        starts, at = [], 0
         for u in body:
-            core += GAP if starts else ""
-            starts.append((len(core), u["page_no"]))
-            core += u["text"]
-        first = block[0]
-        path = (f"{first['heading_path']} > {first['text']}" if first["heading_path"] else first["text"]) if first["level"] is not None else first["heading_path"]
-        image = body[0]["image_path"] if kind == "image" else None
-        whole = [(core, 0)]
-        if kind == "text" and len(body) == 1 and len(core) > high:
-            whole = pieces(core, max(high - len(head) - len(GAP), 1))
-        for k, (part, at) in enumerate(whole):
+            starts.append((at, u.page_no))
+            at += len(u.text) + len(GAP)
+        core = GAP.join(u.text for u in body)
+        page_of = lambda pos, s=starts, f=first: page_at(s, pos) if s else f.page_no
+        over = kind == "text" and len(body) == 1 and len(core) > high
+        for k, (part, offset) in enumerate(pieces(core, max(high - len(head) - len(GAP), 1)) if over else [(core, 0)]):
             n += 1
-            pid = f"{doc_id}:p{n:03d}"
-            own_head = head if k == 0 else ""
-            text = GAP.join(x for x in (own_head, part) if x)
-            page = page_at(starts, at) if starts else first["page_no"]
-            common = {"doc_id": doc_id, "heading_path": path, "chunk_type": kind, "image_path": image}
-            yield common | {"chunk_id": pid, "text": text, "parent_id": "", "page_no": page, "char_len": len(text)}
-            cut = [(part, 0)] if kind != "text" or not part else pieces(part, child)
-            c, before = 0, None
-            for piece, start in cut:
-                shown = piece if before is None or kind != "text" else tail(before, overlap) + piece
-                before = piece
-                shown = GAP.join(x for x in (own_head, shown) if x) if c == 0 else shown
-                if shown:
-                    c += 1
-                    yield common | {"chunk_id": f"{pid}:c{c:03d}", "text": shown, "parent_id": pid, "page_no": page_at(starts, at + start) if starts else page, "char_len": len(shown)}
+            pid, title = f"{doc_id}:p{n:03d}", head if k == 0 else ""
+            row = lambda id_, text, parent, page: (id_, text, parent, doc_id, page, path, kind, len(text), image)
+            yield row(pid, GAP.join(filter(None, (title, part))), "", page_of(offset))
+            cut = pieces(part, child) if kind == "text" and part else [(part, 0)]
+            shown = [(tail(cut[i - 1][0], overlap) if i and kind == "text" else "") + p for i, (p, _) in enumerate(cut)]
+            shown[0] = GAP.join(filter(None, (title, shown[0])))
+            for c, (text, (_, start)) in enumerate(((t, x) for t, x in zip(shown, cut) if t), 1):
+                yield row(f"{pid}:c{c:03d}", text, pid, page_of(offset + start))
 
 
 def split(items: DataFrame) -> DataFrame:
     """Parents and children of every document, from clean items."""
-    return ordered(items.select("doc_id", "pos", "type", "text", "heading_path", "page_no", "level", "image_path"), ["doc_id"], ["pos"], lambda key, rows: chunks_of(key[0], rows), CHUNK)
+    fields = list(Unit._fields)
+    return ordered(items.select("doc_id", "pos", *fields), ["doc_id"], ["pos"], lambda key, rows: chunks_of(key[0], (Unit(*r[2:]) for r in rows)), CHUNK)
+
+
+def cleaned(items: DataFrame) -> DataFrame:
+    """Parents and children of every document, from raw items: cleaning and cutting in one walk."""
+
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        return chunks_of(key[0], (Unit(f.type, text, f.heading_path, f.page_no, f.level, f.image_path) for f, text, *_ in cleaning.tidy(rows)))
+
+    return ordered(cleaning.body(items), ["doc_id"], ["pos"], walk, CHUNK)
 
 
 def heading_paths(items: DataFrame) -> DataFrame:
     """The breadcrumb above each item, from headings and their levels: for each level the last title, forgotten at a shallower heading. A
     heading's own path is without itself."""
 
-    def walk(key: tuple, rows: Iterator[dict]) -> Iterable[dict]:
-        stack: list[tuple[int, str]] = []
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterable[tuple]:
+        trail: dict[int, str] = {}
         for r in rows:
-            if r["level"] is not None:
-                while stack and stack[-1][0] >= r["level"]:
-                    stack.pop()
-            yield {"doc_id": r["doc_id"], "pos": r["pos"], "path": " > ".join(t for _, t in stack)}
-            if r["level"] is not None:
-                stack.append((r["level"], r["text"]))
+            if r.level is not None:
+                trail = {lv: t for lv, t in trail.items() if lv < r.level}
+            yield r.doc_id, r.pos, " > ".join(trail.values())
+            if r.level is not None:
+                trail[r.level] = r.text
 
     return ordered(items.select("doc_id", "pos", "level", "text"), ["doc_id"], ["pos"], walk, "doc_id string, pos int, path string")
 

@@ -1,7 +1,8 @@
 """Cleaning of parsed items: five rules in a fixed order.
 
 1 characters, 2 white space, 3 headers and footers (a short text on many pages), 4 neighbours that repeat each other, 5 short lines joined and
-bare page numbers dropped. Rules 1 to 3 are expressions and aggregates; 4 and 5 depend on what was kept before and run as one ordered fold.
+bare page numbers dropped. Rules 1 to 3 are expressions and aggregates. What rules 4 and 5 ask of a single item is computed as columns too
+(``traits``); only the part that depends on what was kept before is a walk in order, over those columns.
 
 Decisions where the known behaviour is a defect: items that clean to nothing are dropped first, punctuation-only texts have no key and are
 never equal, and only texts (not tables or images) are compared by similarity.
@@ -11,8 +12,8 @@ from __future__ import annotations
 
 import difflib
 import math
-import re
-from collections.abc import Iterable, Iterator
+from collections import deque
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,6 +22,9 @@ from .folds import ordered
 
 SHORT_LINE = 30
 LONGEST_FURNITURE, LEAST_PAGES, PAGE_SHARE = 50, 3, 0.6
+#: Neighbours at least so long and so alike are one.
+LEAST_ALIKE, ALIKE = 20, 0.95
+COLUMNS = ("doc_id", "pos", "type", "text", "heading_path", "page_no", "level", "image_path")
 ITEM = "doc_id string, pos int, type string, text string, heading_path string, page_no int, level int, image_path string"
 
 
@@ -51,59 +55,95 @@ def furniture(items: DataFrame) -> DataFrame:
     return keyed.join(repeated, ["doc_id", "key"], "left_semi").select("doc_id", "pos")
 
 
-def same(a: dict, b: dict) -> bool:
-    """Whether two neighbouring items repeat each other."""
-    if a["type"] != b["type"] or a["level"] is not None or b["level"] is not None:
+def traits(items: DataFrame) -> DataFrame:
+    """Items with what rules 4 and 5 ask of each alone: ``twin`` (equal numbers are repeats; null: never), ``fuzzy`` (compared by similarity),
+    ``bare`` (a page number), ``tail`` (short enough to go on from the item before), ``flow`` (equal numbers: one flow of text; null: none) and
+    ``glue`` (what stands between this text and its continuation)."""
+    body = F.col("level").isNull()
+    prose = body & (F.col("type") == "text")
+    letters = T.letters_key(F.col("text"))
+    return items.select(
+        *COLUMNS,
+        F.when(body & (letters != ""), F.xxhash64("type", letters)).alias("twin"),
+        (prose & (F.length("text") >= LEAST_ALIKE)).alias("fuzzy"),
+        (prose & T.is_page_number(F.col("text"))).alias("bare"),
+        (prose & (F.length("text") < SHORT_LINE)).alias("tail"),
+        F.when(prose & F.col("heading_path").isNotNull(), F.xxhash64("heading_path")).alias("flow"),
+        F.when(F.col("text").rlike("[A-Za-z0-9]$"), " ").otherwise("").alias("glue"),
+    )
+
+
+def alike(a: str, b: str) -> bool:
+    """Whether the matching blocks of two texts make up ``ALIKE`` of them; cheap upper bounds come first."""
+    if 2 * min(len(a), len(b)) < ALIKE * (len(a) + len(b)):
         return False
-    x, y = (re.sub(r"[\s\W_]+", "", t["text"]).lower() for t in (a, b))
-    if x and x == y:
-        return True
-    return a["type"] == "text" and min(len(a["text"]), len(b["text"])) >= 20 and difflib.SequenceMatcher(None, a["text"], b["text"]).ratio() >= 0.95
+    m = difflib.SequenceMatcher(None, a, b)
+    return m.quick_ratio() >= ALIKE and m.ratio() >= ALIKE
 
 
-def _mergeable(prev: dict | None, item: dict) -> bool:
-    return prev is not None and prev["type"] == item["type"] == "text" and prev["level"] is None and item["level"] is None and prev["heading_path"] == item["heading_path"] and len(item["text"]) < SHORT_LINE
+class Repeats:
+    """Rule 4 as a state: the last two items that stayed."""
 
+    def __init__(self) -> None:
+        self.stayed: deque[tuple[int | None, str | None]] = deque(maxlen=2)
+        self.dropped = 0
+
+    def __call__(self, item: tuple) -> bool:
+        """Whether an item repeats one of them; if not, it takes its place among them."""
+        text = item.text if item.fuzzy else None
+        for twin, other in self.stayed:
+            if twin is not None and twin == item.twin or text is not None and other is not None and alike(other, text):
+                self.dropped += 1
+                return True
+        self.stayed.append((item.twin, text))
+        return False
 
-def tidy(key: tuple, rows: Iterator[dict]) -> Iterable[dict]:
-    """Rules 4 and 5 over one document's items in order. The first item of a merge carries the counts."""
-    kept: list[dict] = []  # the last two kept by rule 4
-    last: dict | None = None
-    duplicates = numbers = 0
+
+def tidy(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rules 4 and 5 over one document's ``traits`` in order: (first item of the flow, its whole text, lines joined, and on the document's last
+    result the repeats and page numbers dropped)."""
+    repeats, numbers = Repeats(), 0
+    first, parts, glue = None, [], ""
     for item in rows:
-        if any(same(p, item) for p in kept):
-            duplicates += 1
+        if repeats(item):
             continue
-        kept = [*kept[-1:], item]
-        if item["type"] == "text" and item["level"] is None and re.fullmatch(r"\d{1,4}", item["text"].strip()):
+        if item.bare:
             numbers += 1
-            continue
-        if _mergeable(last, item):
-            head = last["text"]
-            last["text"] = head + (" " if head and head[-1].isascii() and head[-1].isalnum() else "") + item["text"]
-            last["merged"] += 1
-            continue
-        if last is not None:
-            yield last
-        last = {**item, "merged": 0}
-    if last is not None:
-        yield last | {"duplicates": duplicates, "numbers": numbers}
+        elif first is not None and item.tail and item.flow is not None and item.flow == first.flow:
+            parts += (glue, item.text)
+            glue = item.glue
+        else:
+            if first is not None:
+                yield first, "".join(parts), len(parts) // 2, None, None
+            first, parts, glue = item, [item.text], item.glue
+    if first is not None:
+        yield first, "".join(parts), len(parts) // 2, repeats.dropped, numbers
+
+
+def _tidied(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    for first, text, *counts in tidy(rows):
+        yield (*first[:3], text, *first[4:8], *counts)
+
+
+def _kept(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+    seen = Repeats()
+    return ((r.doc_id, r.pos, r.type) for r in rows if not seen(r))
+
+
+def body(items: DataFrame) -> DataFrame:
+    """Rules 1 to 3: clean items that are neither empty nor furniture, with their ``traits``."""
+    base = characters(once(items))
+    return traits(base.filter("text <> ''").join(furniture(base), ["doc_id", "pos"], "left_anti"))
 
 
 def clean(items: DataFrame) -> DataFrame:
     """All five rules. The document's last item carries its counts of duplicates and page numbers."""
-    base = characters(once(items))
-    rest = base.filter("text <> ''").join(furniture(base), ["doc_id", "pos"], "left_anti")
-    return ordered(rest.select("doc_id", "pos", "type", "text", "heading_path", "page_no", "level", "image_path"), ["doc_id"], ["pos"], tidy, ITEM + ", merged int, duplicates int, numbers int")
+    return ordered(body(items), ["doc_id"], ["pos"], _tidied, ITEM + ", merged int, duplicates int, numbers int")
 
 
-def adjacent(key: tuple, rows: Iterator[dict]) -> Iterable[dict]:
-    """Rule 4 alone: against the last two kept items, so A, B, B, A keeps A, B."""
-    kept: list[dict] = []
-    for item in rows:
-        if not any(same(p, item) for p in kept):
-            kept = [*kept[-1:], item]
-            yield item
+def adjacent(items: DataFrame) -> DataFrame:
+    """(doc_id, pos, type) that rule 4 alone keeps: against the last two kept items, so A, B, B, A keeps A, B."""
+    return ordered(traits(items), ["doc_id"], ["pos"], _kept, "doc_id string, pos int, type string")
 
 
 def stats(items: DataFrame) -> DataFrame:

@@ -109,9 +109,7 @@ def short_line_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("adjacent_dedup")
 def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items that stay after the neighbour rule, similarity included."""
-    from ..operators.folds import ordered
-
-    return ordered(items(spark, sf_dir).select("doc_id", "pos", "type", "text", "level"), ["doc_id"], ["pos"], cleaning.adjacent, "doc_id string, pos int, type string")
+    return cleaning.adjacent(items(spark, sf_dir))
 
 
 @query("clean_document")
@@ -126,13 +124,13 @@ def clean_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("chunk_split")
 def chunk_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clean items to parents and children."""
-    return chunking.split(cleaning.clean(items(spark, sf_dir)))
+    """Raw items to parents and children."""
+    return chunking.cleaned(items(spark, sf_dir))
 
 
 @query("chunk_counts")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunking.split(cleaning.clean(items(spark, sf_dir)))
+    c = chunking.cleaned(items(spark, sf_dir))
     return c.groupBy("doc_id").agg(F.sum((F.col("parent_id") == "").cast("int")).alias("parents"), F.sum((F.col("parent_id") != "").cast("int")).alias("children"), F.max("char_len").alias("longest"))
 
 
