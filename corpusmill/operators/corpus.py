@@ -1,15 +1,15 @@
 """Corpus tables: content addresses, listing, keyed merge, replacing by source, deletion, upload checks.
 
-Parquet has no MERGE; a change is a new table built from anti-joins, written whole and swapped in (``swap``), so no failure loses rows.
+Parquet has no MERGE; a change is built from anti-joins and put in place of the buckets it touches, in one step (``sources.versioned``), so no
+failure loses rows and no reader sees half of it.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
+from ..sources import versioned
 
 TEXT_BYTES, PARENT_BYTES, UPLOAD_BYTES = 8192, 65535, 20 * 1024 * 1024
 SUFFIXES = ("pdf", "docx", "md")
@@ -107,23 +107,25 @@ def checked(df: DataFrame, schema) -> DataFrame:
 
 def ensure(spark: SparkSession, path: str, schema) -> DataFrame:
     """The table at a path, created empty if absent, with its schema checked."""
-    fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(fs_path):
-        spark.createDataFrame([], schema).write.parquet(path)
-    return checked(spark.read.parquet(path), schema)
+    if versioned.state(spark, path) is None:
+        versioned.write(spark.createDataFrame([], schema), path, "doc_id")
+    return checked(versioned.read(spark, path), schema)
 
 
 def swap(df: DataFrame, path: str) -> None:
-    """Writes beside the table, then renames: readers see the old rows or the new ones, and a failed write leaves the old."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    new, old, at = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}", hadoop(path)
-    df.write.parquet(new)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(at):
-        fs.rename(at, hadoop(old))
-    fs.rename(hadoop(new), at)
-    fs.delete(hadoop(old), True)
+    """The whole table replaced."""
+    versioned.write(df, path, "doc_id")
+
+
+def store(new: DataFrame, path: str) -> list[int]:
+    """``replace_source`` on a table at a path. Of the rows there, source and document are read to find what is replaced; only the buckets that hold a
+    replaced or a new document are read whole and written again. Returns these."""
+    spark = new.sparkSession
+    old = ensure(spark, path, new.schema)
+    n = versioned.state(spark, path)["n"]
+    hit = versioned.touched(stale(old, new).select("doc_id").union(new.select("doc_id")), "doc_id", n)
+    versioned.write(replace_source(versioned.read(spark, path, hit), new), path, "doc_id", hit)
+    return hit
 
 
 def kept_override(old, new):

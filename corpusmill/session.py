@@ -30,9 +30,12 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or, only where that is unset (local runs), a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset a local run gets a temporary folder; a cluster gets an error, since
+    a folder of one machine would lose what the others write."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import corpus
+from ..session import stage_table
 
 
 def frames(chunks: DataFrame) -> DataFrame:
@@ -47,16 +48,13 @@ def windows(events: DataFrame, late: str = "10 minutes", length: str = "1 hour")
 
 
 def ingest(chunks: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """A stream of chunk rows into a table at ``path``: in each batch a source's old rows are replaced, texts beyond the byte limit are left out, and
-    the table is swapped whole, so that a batch repeated after a failure gives the same rows."""
+    """A stream of chunk rows into a table at ``path``: in each batch a source's old rows are replaced and texts beyond the byte limit are left out; only
+    the buckets a batch touches are written, and they take effect at once, so a batch repeated after a failure gives the same rows."""
 
     def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        spark = batch.sparkSession
-        new, _long = corpus.fit(batch.dropDuplicates(["chunk_id"]))
-        old = corpus.ensure(spark, path, batch.schema)
-        corpus.swap(corpus.replace_source(old, new), path)
+        new = stage_table(corpus.fit(batch.dropDuplicates(["chunk_id"]))[0])
+        if not new.isEmpty():
+            corpus.store(new, path)
 
     return chunks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 

@@ -11,7 +11,7 @@ from corpusmill.functions import text as T
 from corpusmill.functions import times, urls
 from corpusmill.operators import chunking, cleaning, corpus, evaluation, retrieval, sessions, tasks, web
 from corpusmill.operators.folds import ordered
-from corpusmill.sources import documents, files
+from corpusmill.sources import documents, files, versioned
 
 ITEM = "doc_id string, pos int, type string, text string, heading_path string, page_no int, level int, image_path string"
 
@@ -165,11 +165,41 @@ def test_corpus_changes(spark, tmp_path):
     assert {r.chunk_id for r in corpus.replace_source(old, again).collect()} == {"3", "7"}
     path = str(tmp_path / "t")
     corpus.swap(old, path)
-    corpus.swap(corpus.replace_source(spark.read.parquet(path), new), path)
-    assert {r.chunk_id for r in spark.read.parquet(path).collect()} == {"3", "9"} and [p.name for p in tmp_path.iterdir()] == ["t"]
+    read = lambda: {r.chunk_id for r in versioned.read(spark, path).collect()}
+    assert read() == {"1", "2", "3"}
+    hit = corpus.store(new, path)
+    assert read() == {"3", "9"} and len(hit) == 2  # the buckets of x and z
+    kept = versioned.state(spark, path)["buckets"]
+    assert len(set(kept.values())) == 2  # y is where the first write put it
     corpus.ensure(spark, path, old.schema)
     with pytest.raises(ValueError, match="schema drift"):
         corpus.ensure(spark, path, old.drop("text").schema)
+    with pytest.raises(ValueError, match="not replaced"):
+        versioned.write(old, path, "doc_id", [])
+    assert read() == {"3", "9"}
+
+
+def test_a_write_that_fails_before_its_last_step_changes_nothing(spark, tmp_path, monkeypatch):
+    schema = "chunk_id string, source string, doc_id string, text string"
+    path = str(tmp_path / "t")
+    corpus.swap(spark.createDataFrame([("1", "a", "x", "t"), ("3", "b", "y", "t")], schema), path)
+    before = versioned.read(spark, path)
+    new = spark.createDataFrame([("9", "a", "z", "n")], schema)
+    with monkeypatch.context() as m:
+        m.setattr(versioned, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            corpus.store(new, path)
+    assert {r.chunk_id for r in versioned.read(spark, path).collect()} == {"1", "3"}
+    corpus.store(new, path)
+    assert {r.chunk_id for r in versioned.read(spark, path).collect()} == {"3", "9"}
+    assert {r.chunk_id for r in before.collect()} == {"1", "3"}  # a reader that began before
+    for k in range(3):
+        corpus.store(spark.createDataFrame([(f"{k}", "a", f"n{k}", "n")], schema), path)
+    assert {r.chunk_id for r in versioned.read(spark, path).collect()} == {"3", "2"}
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("w")]) <= 3  # what two states name
+
+
+def test_fit(spark):
     fit, long = corpus.fit(spark.createDataFrame([("1", "汉" * 3), ("2", "a" * 9)], "chunk_id string, text string"), 8)
     assert fit.count() == 0 and {r.chunk_id for r in long.collect()} == {"1", "2"}
 
@@ -184,7 +214,7 @@ def test_incremental_ingest(spark, tmp_path):
     jobs.outcome(jobs.ingest(stream(), out, str(tmp_path / "c")).start())
     spark.createDataFrame([("2", "a", "y", "t"), ("3", "b", "z", "t")], schema).coalesce(1).write.parquet(str(feed / "b=2"))
     jobs.outcome(jobs.ingest(stream(), out, str(tmp_path / "c")).start())
-    assert {r.chunk_id for r in spark.read.parquet(out).collect()} == {"2", "3"}
+    assert {r.chunk_id for r in versioned.read(spark, out).collect()} == {"2", "3"}
 
 
 def test_evaluation_means(spark, tmp_path):
@@ -242,8 +272,19 @@ def test_sources(spark, tmp_path):
     (tmp_path / "in" / ".hid").mkdir(parents=True)
     for name, body in (("in/a.md", "# T\n\npara\nline\n\n## S\n\n| a | b |\n|---|---|\n\n```\ncode\n```\n"), ("in/_b.md", "x"), ("in/.hid/c.md", "x")):
         (tmp_path / name).write_text(body)
-    got = files.expand([str(tmp_path / "in"), str(tmp_path / "in" / "a.md"), str(tmp_path / "gone.md")])
-    assert [s for _, s in got] == ["_b.md", "a.md", "gone.md"]
+    got = files.listing(spark, [str(tmp_path / "in"), str(tmp_path / "in" / "a.md"), str(tmp_path / "gone.md")]).collect()
+    assert sorted(r.source for r in got) == ["_b.md", "a.md", "gone.md"] and [r.path for r in got] == sorted(r.path for r in got)
+    (tmp_path / "many").mkdir()
+    for k in range(3):
+        (tmp_path / "many" / f"{k}.jsonl").write_text("".join(f'{{"a": {k * 100 + i}}}\r\n' + "\n" * (i % 3) for i in range(50)))
+    numbered = files.json_lines(spark.newSession(), str(tmp_path / "many"), "a int")
+    want = [(k * 100 + i, sum(1 + j % 3 for j in range(i)) + 1) for k in range(3) for i in range(50)]
+    assert sorted((r.row.a, r.line) for r in numbered.collect()) == want
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")  # many splits a file
+    try:
+        assert sorted((r.row.a, r.line) for r in files.json_lines(spark, str(tmp_path / "many"), "a int").collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
     (tmp_path / "l.jsonl").write_text('{"a": 1}\n\nnot json\n{"a": 3}\n')
     rows = files.json_lines(spark, str(tmp_path / "l.jsonl"), "a int").orderBy("line").collect()
     assert [(r.line, r.problem) for r in rows] == [(1, None), (3, "line 3: no JSON"), (4, None)]
