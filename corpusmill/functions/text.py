@@ -17,6 +17,8 @@ HALF = "".join(map(chr, range(0x21, 0x7F)))
 CJK_STOP = "的了是在和与就都也这那个上下里中为对从把被让给到着过而但"
 #: A search term: a word of letters and digits, or one CJK character.
 TERM = r"[a-z0-9\x{c0}-\x{24f}]+|[\x{4e00}-\x{9fff}]"
+#: The same without one-letter words and function words.
+_SEARCH_TERM = rf"[a-z0-9\x{{c0}}-\x{{24f}}]{{2,}}|[0-9\x{{c0}}-\x{{24f}}]|[\x{{4e00}}-\x{{9fff}}&&[^{CJK_STOP}]]"
 
 
 def strip(c: Column) -> Column:
@@ -150,8 +152,7 @@ def answer(c: Column) -> Column:
 
 def terms(c: Column) -> Column:
     """Search terms of a text in order: words and single CJK characters, without one-letter words and function words."""
-    found = F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
-    return F.filter(found, lambda t: ~(t.rlike("^[a-z]$") | F.contains(F.lit(CJK_STOP), t)))
+    return F.regexp_extract_all(F.lower(c), F.lit(_SEARCH_TERM), F.lit(0))
 
 
 def seq_of(chunk_id: Column) -> Column:

@@ -16,11 +16,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..functions import text as T
-from ..session import stage_table
+from ..session import spread, stage_table
 
 K1, B, RRF_K = 1.2, 0.75, 60
 #: Query vectors sent to the executors at once.
 BLOCK = 2048
+#: Up to so many query terms are sent to every task; beyond, the corpus' tokens are shuffled to them.
+SMALL = 200_000
 
 
 def need_positive(k: int) -> int:
@@ -35,15 +37,23 @@ def top(df: DataFrame, score: Column, k: int, by: list[str], tie: str) -> DataFr
     return df.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= need_positive(k))
 
 
+def _matrix(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors of a list column as one matrix, and which rows have one."""
+    have = v.is_valid().to_numpy(zero_copy_only=False)
+    flat = v.drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    n = int(have.sum())
+    if n and len(flat) % n:
+        raise ValueError("vectors of different lengths")
+    return flat.reshape(n, -1), have
+
+
 def _scan(ids: list, matrix: np.ndarray, k: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            v = b.column("embedding")
-            have = np.array([x.is_valid for x in v], bool)
-            own = np.array([i for i, h in zip(b.column("vec_id").to_pylist(), have) if h])
+            x, have = _matrix(b.column("embedding"))
+            own = b.column("vec_id").to_numpy(zero_copy_only=False)[have]
             if not len(own):
                 continue
-            x = np.stack([np.asarray(t, np.float64) for t, h in zip(v.to_pylist(), have) if h])
             s = np.einsum("qd,nd->qn", matrix, x)
             kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
             q, n = np.nonzero(s >= kth[:, None] - 1e-8)  # ties stay, to be ranked by id
@@ -58,10 +68,11 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     The query set is stated by the caller and is taken in blocks of ``BLOCK`` vectors; every block meets all vectors in one scan, as a matrix
     product that keeps only what can be among a query's best, so the shuffle carries k rows per query and batch."""
     need_positive(k)
-    n = max(1, -(-queries.count() // BLOCK))
+    rows_of = stage_table(queries.select("query_id", "embedding"))
+    n = max(1, -(-rows_of.count() // BLOCK))
     out: DataFrame | None = None
     for block in range(n):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "embedding").orderBy("query_id").collect()  # about BLOCK rows
+        rows = rows_of.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == block).select("query_id", "embedding").orderBy("query_id").collect()  # about BLOCK rows
         rows = [r for r in rows if r["embedding"] is not None]
         if not rows:
             continue
@@ -73,22 +84,25 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top(out, F.round("score", 9), k, ["query_id"], "vec_id")
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(key, term, tf) and (key, dl) of a corpus ``(key, text)``."""
-    listed = docs.select(key, T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
-    lengths = listed.select(key, F.size("terms").alias("dl"))
-    return listed.select(key, F.explode("terms").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), lengths
+def term_table(docs: DataFrame) -> DataFrame:
+    """(term, occurrences, documents) of a corpus with one text a row: every token and every first one of a text leave the scan as a term and a mark,
+    summed in each task before the one shuffle."""
+    own = T.terms(F.coalesce(F.col("text"), F.lit("")))
+    rows = spread(docs.select("text")).select(own.alias("terms")).select(F.explode(F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))).alias("t"))
+    return rows.groupBy("t.term").agg(F.sum(1 - F.col("t.first")).alias("occurrences"), F.sum("t.first").cast("bigint").alias("documents"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int, key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, key, score, rank): BM25 top-k of ``queries(query_id, text)`` over ``docs(key, text)``. Only the queries' terms leave the scan
-    of the corpus (semi join before the aggregation)."""
+    """(query_id, key, score, rank): BM25 top-k of ``queries(query_id, text)`` over ``docs(key, text)``. The corpus is read and cut into terms once; only
+    the queries' terms, and an empty one that carries each document's length, leave the scan and are written for the rest."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    listed = docs.select(key, T.terms(F.coalesce(F.col("text"), F.lit(""))).alias("terms"))
-    tokens = listed.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+    kept = stage_table(wanted.select("term").union(docs.sparkSession.range(1).select(F.lit(""))).distinct())
+    kept = F.broadcast(kept) if kept.count() <= SMALL else kept
+    listed = spread(docs.select(key, "text")).select(key, F.array_append(T.terms(F.coalesce(F.col("text"), F.lit(""))), F.lit("")).alias("terms"))
+    tokens = listed.select(key, (F.size("terms") - 1).alias("dl"), F.explode("terms").alias("term")).join(kept, "term", "left_semi")
     tf = stage_table(tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")))
-    n, avgdl = listed.agg(F.count("*"), F.avg(F.size("terms"))).first()  # two numbers
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    n, avgdl = tf.filter("term = ''").agg(F.count("*"), F.avg("dl")).first()  # two numbers
+    df = tf.filter("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     weight = df.select("term", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(avgdl or 1.0)))
     scored = wanted.join(weight, "term").join(tf, "term").groupBy("query_id", key).agg(F.sum(part).alias("score"))
@@ -137,7 +151,8 @@ def search(chunks: DataFrame, queries: DataFrame, encode: Callable[[Column], Col
     kids = chunks.filter("parent_id <> ''").dropDuplicates(["chunk_id"])
     ids = kids.select("chunk_id", "parent_id", F.xxhash64("chunk_id").alias("vec_id"), "text")
     q = queries.select("query_id", F.xxhash64("query_id").alias("q"), "text")
-    near = dense(ids.select("vec_id", encode(F.col("text")).alias("embedding")), q.select(F.col("q").alias("query_id"), encode(F.col("text")).alias("embedding")), depth)
+    vectors = stage_table(ids.select("vec_id", encode(F.col("text")).alias("embedding")))  # encoded once, however many blocks of queries
+    near = dense(vectors, q.select(F.col("q").alias("query_id"), encode(F.col("text")).alias("embedding")), depth)
     near = near.withColumnRenamed("query_id", "q").join(q.select("q", "query_id"), "q").join(ids.select("vec_id", "chunk_id"), "vec_id").select("query_id", "chunk_id", "rank")
     sparse = bm25(ids.select("chunk_id", "text"), q.select("query_id", "text"), depth, key="chunk_id")
     fused = rrf(merge_routes(near, sparse, ["query_id"], "chunk_id"), top_k, ["query_id"]).join(ids.select("chunk_id", "parent_id"), "chunk_id")

@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..session import stage_table
+
 TERMINAL = ("done", "failed", "skipped")
-#: The most steps a plan has, so the most rounds a cascade needs.
-DEPTH = 5
 PARALLEL = 3
+#: Dependencies walked before what was reached is written.
+HOPS = 3
 
 
 def ready(steps: DataFrame, deps: DataFrame, at_once: int = PARALLEL) -> DataFrame:
@@ -19,16 +21,25 @@ def ready(steps: DataFrame, deps: DataFrame, at_once: int = PARALLEL) -> DataFra
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("plan_id").orderBy("step_id"))).filter(F.col("n") <= at_once).select("plan_id", "step_id")
 
 
-def cascade(steps: DataFrame, deps: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Steps that a failure reaches: pending ones that depend, at any distance, on a failed or skipped step. Plans have at most ``depth`` steps,
-    so the closure is that many joins."""
-    bad = steps.filter("status in ('failed', 'skipped')").select("plan_id", "step_id")
-    waiting = steps.filter("status = 'pending'").select("plan_id", "step_id")
-    reached, front = None, bad
-    for _ in range(depth - 1):
-        front = deps.join(front.select("plan_id", F.col("step_id").alias("dep_id")), ["plan_id", "dep_id"]).select("plan_id", "step_id").distinct().join(waiting, ["plan_id", "step_id"], "left_semi")
-        reached = front if reached is None else reached.unionByName(front)
-    return reached.distinct()
+def cascade(steps: DataFrame, deps: DataFrame) -> DataFrame:
+    """Steps that a failure reaches: pending ones that depend, at any distance, on a failed or skipped step. Only dependencies of pending steps can
+    carry a failure on; they are written once and walked from the failed steps until a round reaches nothing new, so a cycle ends too."""
+    state = stage_table(steps.filter("status in ('failed', 'skipped', 'pending')").select("plan_id", "step_id", F.col("status").alias("s")))
+    pending = state.filter("s = 'pending'").select("plan_id", "step_id")
+    edges = stage_table(deps.join(pending, ["plan_id", "step_id"], "left_semi").select("plan_id", "step_id", "dep_id"))
+    front = state.filter("s <> 'pending'").select("plan_id", F.col("step_id").alias("dep_id"))
+    reached: DataFrame | None = None
+    while True:
+        found: DataFrame | None = None
+        for _ in range(HOPS):
+            hop = edges.join(front, ["plan_id", "dep_id"], "left_semi").select("plan_id", "step_id")
+            found = hop if found is None else found.union(hop)
+            front = hop.withColumnRenamed("step_id", "dep_id")
+        new = stage_table(found.distinct() if reached is None else found.distinct().join(reached, ["plan_id", "step_id"], "left_anti"))
+        if new.isEmpty():
+            return pending.limit(0) if reached is None else reached
+        reached = new if reached is None else reached.unionByName(new)
+        front = new.select("plan_id", F.col("step_id").alias("dep_id"))
 
 
 def invalid(steps: DataFrame, deps: DataFrame) -> DataFrame:

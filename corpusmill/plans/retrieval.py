@@ -84,9 +84,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS documents FROM t GROUP BY term""",
 )
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Postings summed up: how often and in how many documents each term stands."""
-    tf, _ = retrieval.postings(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return tf.groupBy("term").agg(F.sum("tf").alias("occurrences"), F.count("*").alias("documents"))
+    """How often and in how many documents each term stands."""
+    return retrieval.term_table(table(spark, sf_dir, "documents"))
 
 
 @query("rrf_fuse", sql=f"{_FUSED} SELECT query_id, chunk_id, dense_rank, sparse_rank, rank, rrf_score FROM f")

@@ -5,20 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import tasks
+from ..session import spread, stage_table
 from ..streaming import jobs
 from ..tables import table
 from . import REGISTRY
 
 query = REGISTRY.query
-#: Lines of an order, so steps of a plan.
-DEPTH = 7
 _STEPS = "SELECT CAST(l_orderkey AS VARCHAR) AS plan_id, 's' || l_linenumber AS step_id, max(CASE l_returnflag WHEN 'R' THEN 'failed' WHEN 'A' THEN 'done' ELSE 'pending' END) AS status, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber"
 _DEPS = "SELECT plan_id, step_id, 's' || (n - 1) AS dep_id FROM s WHERE n > 1"
 
 
 def plan_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "done").otherwise("pending")
-    steps = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("plan_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("step_id")).agg(F.max(status).alias("status"), F.max("l_linenumber").alias("n"))
+    steps = stage_table(spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")).groupBy(F.col("l_orderkey").cast("string").alias("plan_id"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("step_id")).agg(F.max(status).alias("status"), F.max("l_linenumber").alias("n")))
     deps = steps.filter("n > 1").select("plan_id", "step_id", F.concat(F.lit("s"), (F.col("n") - 1).cast("string")).alias("dep_id"))
     return steps, deps
 
@@ -39,7 +38,7 @@ def plan_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT r.plan_id, r.step_id FROM r JOIN s USING (plan_id, step_id) WHERE s.status = 'pending'""",
 )
 def plan_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tasks.cascade(*plan_tables(spark, sf_dir), depth=DEPTH)
+    return tasks.cascade(*plan_tables(spark, sf_dir))
 
 
 @query("plan_problems", sql=f"WITH s AS ({_STEPS}), d AS ({_DEPS}) SELECT d.plan_id, d.step_id, 'missing' AS problem FROM d ANTI JOIN s ON s.plan_id = d.plan_id AND s.step_id = d.dep_id")

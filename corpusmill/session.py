@@ -41,6 +41,12 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores where an input has fewer splits than there are cores; larger inputs stay as they are read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def stage_table(df: DataFrame) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: lineage is cut, a lost executor costs nothing that was computed
     before, and later readers prune columns. Removed when the session's driver ends."""
