@@ -2,16 +2,20 @@
 
 Headers and footers are found by fuzzy repetition of lines at page edges: a line's key drops its page label, case, blanks, digits and the
 differences a scan confuses, so ``M0rque Annual Report`` and ``Morque Annual Report - 7 -`` are one line. A key on ``REPEATS`` pages and a
-share ``SHARE`` of a document's pages, or a running line in ``DOCS`` documents and most where it occurs, is furniture. A page label is furniture if it states the item's page (digits, roman
-numerals, ``n of m``, with scan errors). Lines of the same kinds inside a body item are removed there. Headings (with level) never are.
+share ``SHARE`` of a document's pages, or a running line in ``DOCS`` documents and most where it occurs, is furniture. A page label is furniture if
+it states the item's page (digits, roman numerals, ``n of m``, with scan errors), or if labels of its style stand as far from their pages on
+``RUN`` pages of the document (front matter, an extract). Lines of the same kinds inside a body item are removed there. Headings (with level)
+never are.
 
 Lines are then joined. A word cut by a hyphen-like mark at a line end, or at the end of an item before the next body item, is joined as
-the corpus vocabulary has it: with or without its hyphen. A token is misread if exchanging characters a scan confuses gives a word that is
-``TIMES`` as frequent in the corpus; for CJK the frequency is that of the character with its neighbours.
-
-Vocabulary, keys and counts are aggregated over all rows and meet the items in joins; only bit filters of a fixed size reach the driver. No stage gathers a document: the
-look ahead to the next body item runs in windows of ``SPAN`` positions, which overlap by ``AHEAD``. Only text items with a page count. Nulls
-and empty texts give no defect. Items delivered twice count once. Very long items are processed whole.
+the corpus vocabulary has it: with or without its hyphen. A unit of the vocabulary is misread if one or two exchanges of characters a scan
+confuses give one that is ``TIMES`` as frequent: units meet under a key on which all such exchanges agree, and the exchanges are then found
+exactly. For CJK the unit is the character with its neighbours.
+
+Vocabulary, keys and counts are aggregated over all rows and meet the items in joins; only a bit filter of bounded size reaches the driver. No stage
+gathers a document: what an item asks of the one before or after it is found in blocks of ``SPAN`` positions, and across blocks from one row a
+block. Only text items with a page count. Nulls and empty texts give no defect. Items delivered twice count once. Very long items are
+processed whole.
 """
 
 from __future__ import annotations
@@ -24,14 +28,16 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage_table
 from .textkit import fold
 
 REPEATS, SHARE, DOCS = 2, 0.35, 3
-TIMES, LEAST = 8, 4
-SPAN, AHEAD = 512, 64
+TIMES, LEAST, EXCHANGES = 8, 4, 2
+SPAN = 512
+#: Labels that go on beside the pages' own count: on so many pages at the same distance.
+RUN = 3
 #: Positions from a page's first and last item that count as its edge, and the longest line that can be furniture.
 EDGE, LINE = 3, 110
 HYPHENS = "-‐‑­¬–﹣－"
@@ -44,8 +50,8 @@ _CJK_FIX: dict[str, list[str]] = {}
 for _pair in CJK_MISREAD.split():
     _CJK_FIX.setdefault(_pair[1], []).append(_pair[0])
 _CJK_HOT = re.compile("[" + "".join(sorted(set(CJK_MISREAD) - {" "})) + "]")
-#: Bits of the filters that tell which units can matter; one is broadcast at a time. False positives are settled by exact joins.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that tells which units can matter: sixteen a unit between these bounds. False positives are settled by an exact join.
+FILTER_BITS = 1 << 20, 1 << 27
 
 _ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})", re.I)
 _DIGIT = str.maketrans("lIiOoSsBZzq|!", "1110055822911")
@@ -63,6 +69,8 @@ _LABELS = tuple(
         rf"({_NUM})\s*/\s*{_NUM}",
         rf"({_NUM})",
         r"([ivxlc]{1,8})",
+        r"[-–—·•]\s*([ivxlc]{1,8})\s*[-–—·•]",
+        r"p[a@]g[e]\s+([ivxlc]{1,8})",
     )
 )
 _SHUT = re.compile(r"[\s|·/—–:：-]+$")
@@ -87,6 +95,14 @@ def states(label: str, page: int) -> bool:
     return digits.isdigit() and int(digits) == page or number(label) == page
 
 
+def run_of(line: str, page: int) -> str | None:
+    """What the labels of one run have in common: style and distance from the page, for a line that is nothing but a label."""
+    for p in _LABELS:
+        if (m := p.fullmatch(line.strip())) and (n := number(m[1])) is not None:
+            return f"{'roman' if m[1].isalpha() else 'digits'} {n - page}"
+    return None
+
+
 @cache
 def roman(n: int) -> str:
     tens, ones = ("", "x", "xx", "xxx", "xl", "l", "lx", "lxx", "lxxx", "xc"), ("", "i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix")
@@ -144,9 +160,9 @@ _ENDS = re.compile(r"[。；;！？!?]\s*$|[a-zà-ÿ]{2}\.\s*$|[,，、]\s*$")
 
 
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each line that could be furniture: its number (-1: the whole item), keys and whether it states the page."""
+    """For each line that could be furniture: its number (-1: the whole item), keys, whether it states the page, else the run of labels it may be of."""
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "page_no", "line", "labelled", "empty", "keys")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "page_no", "line", "labelled", "run", "keys")}
         for doc, pos, page, level, text in zip(*(b.column(n).to_pylist() for n in ("doc_id", "pos", "page_no", "level", "text"))):
             if level is not None:
                 continue
@@ -158,14 +174,15 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 base, labelled = label_of(x, page)
                 own = [] if _ENDS.search(base) else keys(base)
-                if base and not own:
+                run = None if labelled or len(base) > 24 else run_of(base, page)
+                if base and not own and not run:
                     continue
-                for k, v in zip(out, (doc, pos, page, -1 if whole else i, labelled and len(base) <= 80, not base, own)):
+                for k, v in zip(out, (doc, pos, page, -1 if whole else i, labelled, run, own)):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.string())))], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string())))], names=list(out))
 
 
-LINES = "doc_id string, pos int, page_no int, line int, labelled boolean, empty boolean, keys array<string>"
+LINES = "doc_id string, pos int, page_no int, line int, labelled boolean, run string, keys array<string>"
 
 
 def paged(items: DataFrame) -> DataFrame:
@@ -187,7 +204,10 @@ def furniture(items: DataFrame) -> DataFrame:
     asked = lines.select("doc_id", "pos", "line", F.explode("keys").alias("key"))
     near = asked.join(edge.select("doc_id", "pos", "line").distinct(), ["doc_id", "pos", "line"], "left_semi").unionByName(asked.filter("line >= 0"))
     known = near.join(running.select("doc_id", "key"), ["doc_id", "key"], "left_semi").unionByName(near.join(everywhere, "key", "left_semi").select("doc_id", "key", "pos", "line"))
-    return lines.filter("labelled").select("doc_id", "pos", "line").unionByName(known.select("doc_id", "pos", "line")).distinct()
+    stated = lines.filter("run is not null").join(edge.select("doc_id", "pos", F.lit(-1).alias("line")).distinct().unionByName(lines.filter("line >= 0 and run is not null").select("doc_id", "pos", "line").distinct()), ["doc_id", "pos", "line"], "left_semi")
+    runs = stated.groupBy("doc_id", "run").agg(F.countDistinct("page_no").alias("pages")).filter(F.col("pages") >= RUN)
+    counted = stated.join(runs.select("doc_id", "run"), ["doc_id", "run"], "left_semi").select("doc_id", "pos", "line")
+    return lines.filter("labelled").select("doc_id", "pos", "line").unionByName(counted).unionByName(known.select("doc_id", "pos", "line")).distinct()
 
 
 _WORD = re.compile(r"[A-Za-zÀ-ɏ@†$!|0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†$!|0-9]*")
@@ -195,7 +215,7 @@ _COMPOUND = re.compile(r"[A-Za-zÀ-ɏ]+-[A-Za-zÀ-ɏ]+")
 _BREAK = re.compile(rf"([A-Za-zÀ-ɏ@†0-9]*[A-Za-zÀ-ɏ])[{HYPHENS}][ \t]*\n[ \t\n]*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†0-9]*)")
 _CUT = re.compile(rf"[{HYPHENS}][ \t]*\n")
 _MARKS = {*HYPHENS}
-_TAIL = re.compile(rf"([A-Za-zÀ-ɏ@†0-9]*[A-Za-zÀ-ɏ])[{HYPHENS}]\s*$")
+_TAIL = re.compile(r"[A-Za-zÀ-ɏ@†0-9]*[A-Za-zÀ-ɏ]$")
 _HEAD = re.compile(r"\s*([A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†0-9]*)")
 _HAN = "㐀-䶿一-鿿，。；、：（）“”"
 
@@ -230,28 +250,22 @@ def units(text: str) -> set[str]:
     return out
 
 
-def slot(unit: str) -> int:
-    return zlib.crc32(unit.encode("utf-8", "surrogatepass")) % FILTER_BITS
-
-
-def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(FILTER_BITS, bool)
-    for b in batches:
-        bits[[slot(u) for u in b.column(0).to_pylist()]] = True
-    yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-
 def unit_filter(units_: DataFrame) -> bytes:
-    """A filter over a one-column frame of units: ``FILTER_BITS`` bits whatever the number of units, merged from at most four tasks."""
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in units_.coalesce(4).mapInArrow(_bitmaps, "bits binary").toLocalIterator():
-        out |= np.frombuffer(r["bits"], np.uint8)
+    """A bit filter over a one-column frame of units, made by all tasks: each 32 bits are one group of an aggregation, so the driver gets a number of rows
+    bounded by the largest filter, whatever the number of units."""
+    n, (low, high) = units_.count(), FILTER_BITS
+    size = min(high, max(low, 1 << (16 * n).bit_length()))
+    slot = F.pmod(F.crc32(units_.columns[0]), F.lit(size)).cast("int")
+    words = units_.select(slot.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits"))
+    out = np.zeros(size // 32, np.uint32)
+    for b in words.toArrow().to_batches():
+        out[b.column("word").to_numpy()] = b.column("bits").to_numpy().astype(np.uint32)
     return out.tobytes()
 
 
 def _has(bits: bytes, unit: str) -> bool:
-    at = slot(unit)
-    return bool(bits[at >> 3] >> (7 - (at & 7)) & 1)
+    at = zlib.crc32(unit.encode("utf-8", "surrogatepass")) & (len(bits) * 8 - 1)
+    return bool(bits[at >> 3] >> (at & 7) & 1)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,49 +286,69 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def variants(unit: str, rare: bool = True) -> Iterator[list[str]]:
-    """What a unit may have been before the scan: by one exchange, then, for a rare unit, by two; for CJK by one, for every context."""
-    if any("㐀" <= c <= "鿿" for c in unit):
-        yield [unit[:i] + f + unit[i + 1 :] for i, c in enumerate(unit) for f in _CJK_FIX.get(c, ())]
-        return
-
-    def once(u: str) -> set[str]:
-        out = set()
-        for bad, good in LATIN_MISREAD:
-            at = u.find(bad)
-            while at >= 0:
-                out.add(u[:at] + good + u[at + len(bad) :])
-                at = u.find(bad, at + 1)
-        return out
+def _classes(pairs: list[tuple[str, str]]) -> dict[str, str]:
+    """For each character of the pairs the least of those it can be exchanged with, at any distance."""
+    of: dict[str, str] = {}
+    for a, b in pairs:
+        x, y = of.get(a, a), of.get(b, b)
+        of |= {k: min(x, y) for k in {a, b, *(k for k, v in of.items() if v in (x, y))}}
+    return of
 
-    first = once(unit)
-    yield [w for w in first if w.isalpha() and len(w) > 2]
-    if rare and len(unit) <= 24:
-        yield [w for w in set().union(*map(once, first)) if w.isalpha() and len(w) > 2 and w != unit]
 
+_CLASS = _classes([(a, b) for a, b in LATIN_MISREAD if len(a) == 1] + [(p[0], p[1]) for p in CJK_MISREAD.split()])
+#: Exchanges with their number: those of the list, and those whose several characters were themselves confused.
+_EXCHANGES: dict[str, dict[str, int]] = {}
+for _bad, _good in LATIN_MISREAD:
+    for _i, _c in enumerate(_bad if len(_bad) > 1 else ""):
+        for _b, _g in LATIN_MISREAD:
+            if _g == _c:
+                _EXCHANGES.setdefault(_good, {}).setdefault(_bad[:_i] + _b + _bad[_i + 1 :], 2)
+for _bad, _good in LATIN_MISREAD:
+    _EXCHANGES.setdefault(_good, {})[_bad] = 1
 
-def _variants(common: bytes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for u, n in zip(b.column("unit").to_pylist(), b.column("n").to_pylist()):
-                for found in variants(u, rare=n < LEAST or not u.isalpha()):
-                    if known := [v for v in found if _has(common, v)]:
-                        rows += [(u, n, v) for v in known]
-                        break
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string()))], names=["unit", "n", "variant"])
 
-    return run
+def scan_key(unit: Column) -> Column:
+    """A key on which a unit agrees with all that exchanges make of it."""
+    for whole, parts in (("w", "vv"), ("m", "rn"), ("u", "ii"), ("h", "li"), ("d", "cl"), ("n", "ri")):
+        unit = F.replace(unit, F.lit(whole), F.lit(parts))
+    return F.translate(unit, "".join(_CLASS), "".join(_CLASS.values()))
+
+
+def exchanges(unit: str, fix: str, most: int = EXCHANGES) -> int | None:
+    """The least number of exchanges that make a unit of Latin letters the fix, or None beyond ``most``; for CJK one exchange at most."""
+    if any("㐀" <= c <= "鿿" for c in unit):
+        odd = [(a, b) for a, b in zip(unit, fix) if a != b]
+        return len(odd) if len(unit) == len(fix) and len(odd) <= 1 and all(b in _CJK_FIX.get(a, ()) for a, b in odd) else None
+    best = {0: 0}  # characters of the unit used so far, for each length of the fix, to the exchanges made
+    for c in fix:
+        new: dict[int, int] = {}
+        for at, cost in best.items():
+            if unit.startswith(c, at):
+                new[at + 1] = min(new.get(at + 1, cost), cost)
+            for bad, n in _EXCHANGES.get(c, {}).items():
+                if cost + n <= most and unit.startswith(bad, at):
+                    new[at + len(bad)] = min(new.get(at + len(bad), most), cost + n)
+        best = new
+        if not best:
+            return None
+    return best.get(len(unit))
+
+
+def _exchanged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n = [exchanges(u, v) for u, v in zip(b.column("unit").to_pylist(), b.column("variant").to_pylist())]
+        yield pa.RecordBatch.from_arrays([b.column("unit"), b.column("variant"), b.column("m"), pa.array(n, pa.int32())], names=["unit", "variant", "m", "exchanges"])
 
 
 def misreadings(vocab: DataFrame) -> DataFrame:
-    """(unit, fix): units that are rare beside what they become by exchanging confused characters. A unit's second exchange is tried only where
-    the first gives no frequent unit."""
-    common = unit_filter(vocab.filter(F.col("n") >= LEAST).select("unit"))
-    tried = vocab.mapInArrow(_variants(common), "unit string, n bigint, variant string")
-    better = tried.join(vocab.select(F.col("unit").alias("variant"), F.col("n").alias("m")), "variant").filter((F.col("m") >= LEAST) & (F.col("m") >= TIMES * F.col("n")))
-    return better.groupBy("unit").agg(F.max_by("variant", F.struct("m", "variant")).alias("fix"))
+    """(unit, fix): units that are rare beside what they become by exchanging confused characters; of several the fix by fewest exchanges, then the
+    most frequent."""
+    keyed = vocab.select("unit", "n", scan_key(F.col("unit")).alias("key"))
+    word = F.col("unit").rlike("[㐀-鿿]") | F.col("unit").rlike(r"^\p{L}{3,}$")
+    known = keyed.filter((F.col("n") >= LEAST) & word).select("key", F.col("unit").alias("variant"), F.col("n").alias("m"))
+    met = keyed.join(known, "key").filter((F.col("m") >= TIMES * F.col("n")) & (F.col("unit") != F.col("variant")))
+    better = met.select("unit", "variant", "m").mapInArrow(_exchanged, "unit string, variant string, m bigint, exchanges int").filter("exchanges > 0")
+    return better.groupBy("unit").agg(F.max_by("variant", F.struct(-F.col("exchanges"), "m", "variant")).alias("fix"))
 
 
 def _asked(bad: bytes):
@@ -347,10 +381,19 @@ def vocabulary(rows: DataFrame) -> DataFrame:
     return stage_table(rows.select("flat").mapInArrow(_counts, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n")))
 
 
+def tail_of(text: str) -> str | None:
+    """The word that a hyphen-like mark cuts at the end of a text."""
+    text = text.rstrip()
+    if text[-1:] not in _MARKS or not text:
+        return None
+    m = _TAIL.search(text[:-1].rsplit(None, 1)[-1]) if text[:-1].strip() and not text[-2].isspace() else None
+    return m[0] if m else None
+
+
 def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         bodies = [_without(t, x) for t, x in zip(b.column("text").to_pylist(), b.column("gone").to_pylist())]
-        tails = [(_TAIL.search(t[-60:]) or ["", None])[1] if t.rstrip()[-1:] in _MARKS else None for t in bodies]
+        tails = [tail_of(t) for t in bodies]
         heads = [(_HEAD.match(fold(t)) or ["", None])[1] for t in bodies]
         cut = [bool(_CUT.search(t) and _BREAK.search(t)) for t in bodies]
         flat = [flow(t) for t in bodies]
@@ -368,13 +411,28 @@ def bodies(items: DataFrame, found: DataFrame) -> DataFrame:
     return stage_table(rows)
 
 
+def _blocked(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("block", F.floor(F.col("pos") / SPAN))
+
+
+def _across(rows: DataFrame, value: Column, step: Column) -> DataFrame:
+    """(doc_id, block, across): for each block a ``value`` of every block, moved over the blocks of the document by ``step``, a window function of
+    the column ``own``. One row a block."""
+    per = rows.groupBy("doc_id", "block").agg(value.alias("own"))
+    return per.select("doc_id", "block", step.over(Window.partitionBy("doc_id").orderBy("block")).alias("across"))
+
+
+def _block():
+    return Window.partitionBy("doc_id", "block").orderBy("pos")
+
+
 def next_heads(rows: DataFrame) -> DataFrame:
-    """(doc_id, pos, next_head) for items that end in a cut word: the first word of the next body item. Windows run over blocks of
-    positions, each with a copy of the next block's first rows, so that no document is one task's work."""
-    slim = rows.select("doc_id", "pos", "head", "tail", F.floor(F.col("pos") / SPAN).alias("block"), F.lit(True).alias("own"))
-    copies = slim.filter(F.col("pos") % SPAN < AHEAD).withColumns({"block": F.col("block") - 1, "own": F.lit(False)})
-    w = Window.partitionBy("doc_id", "block").orderBy("pos")
-    return slim.unionByName(copies).withColumn("next_head", F.lead("head").over(w)).filter("own and tail is not null and next_head is not null").select("doc_id", "pos", "next_head")
+    """(doc_id, pos, next_head) for items that end in a cut word: the first word of the next body item, however far it stands. No document is one
+    task's work: windows run inside blocks of positions, and a block's last item looks at the first of the next block that has any."""
+    slim = _blocked(rows.select("doc_id", "pos", F.struct("head").alias("first"), "tail"))
+    ahead = _across(slim, F.min_by("first", "pos"), F.lead("own"))
+    cut = slim.withColumn("inside", F.lead("first").over(_block())).filter("tail is not null").join(ahead, ["doc_id", "block"], "left")
+    return cut.select("doc_id", "pos", F.coalesce("inside", "across")["head"].alias("next_head")).filter("next_head is not null")
 
 
 def defects(items: DataFrame) -> DataFrame:
@@ -420,7 +478,7 @@ def _mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def paragraphs(items: DataFrame) -> DataFrame:
     """(doc_id, start_pos, first_page, last_page, heading, text): continuous paragraphs in reading order. A body item that does not end its
-    sentence goes on in the next one. Paragraphs are cut where ``AHEAD`` items and more would join."""
+    sentence goes on in the next one, over any number of items."""
     texts = paged(items)
     rows = bodies(texts, stage_table(furniture(texts)))
     vocab = vocabulary(rows)
@@ -434,11 +492,14 @@ def paragraphs(items: DataFrame) -> DataFrame:
     whole = ahead.join(fixes, ["doc_id", "pos"], "left").join(compounds, ["doc_id", "pos"], "left")
     mended = whole.mapInArrow(_mend, "doc_id string, pos int, page_no int, level int, text string, open_word boolean").filter("text <> ''")
     ends = F.col("text").rlike(r"[。！？!?.:：;；」”)）]$") & ~F.col("open_word") | F.col("level").isNotNull()
-    slim = mended.withColumns({"ends": ends, "block": F.floor(F.col("pos") / SPAN), "own": F.lit(True)})
-    copies = slim.filter(F.col("pos") % SPAN >= SPAN - AHEAD).withColumns({"block": F.col("block") + 1, "own": F.lit(False)})
-    w = Window.partitionBy("doc_id", "block").orderBy("pos")
-    marked = slim.unionByName(copies).withColumn("start", F.coalesce(F.lag("ends").over(w), F.lit(True)) | F.col("level").isNotNull())
-    placed = marked.withColumn("start_pos", F.max(F.when(F.col("start"), F.col("pos"))).over(w)).filter("own")
+    slim = stage_table(_blocked(mended.withColumn("ends", ends)))
+    before = _across(slim, F.max_by("ends", "pos"), F.lag("own"))
+    marks = slim.select("doc_id", "pos", "block", "level", F.lag("ends").over(_block()).alias("inside")).join(before, ["doc_id", "block"])
+    starts = marks.select("doc_id", "pos", "block", F.when(F.coalesce("inside", "across", F.lit(True)) | F.col("level").isNotNull(), F.col("pos")).alias("start"))
+    open_ = starts.groupBy("doc_id", "block").agg(F.max("start").alias("own")).withColumn("run", F.max("own").over(Window.partitionBy("doc_id").orderBy("block")))
+    open_ = open_.select("doc_id", "block", F.lag("run").over(Window.partitionBy("doc_id").orderBy("block")).alias("across"))
+    at = starts.withColumn("inside", F.max("start").over(_block())).join(open_, ["doc_id", "block"]).select("doc_id", "pos", F.coalesce("inside", "across").alias("start_pos"))
+    placed = slim.join(at, ["doc_id", "pos"])
     glued = F.aggregate(
         F.sort_array(F.collect_list(F.struct("pos", "text", "open_word"))),
         F.struct(F.lit("").alias("t"), F.lit(True).alias("o")),

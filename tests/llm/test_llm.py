@@ -9,6 +9,7 @@ from itertools import combinations, product
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill.llm import answers, leaks, markup, mixing, neardup, pieces, repeats, scans, textkit, unify
 from corpusmill.llm.queries import REGISTRY
@@ -132,6 +133,47 @@ def test_p2_kinds(spark):
     assert text[900] == "The expenditure of capital and margin held firm because freight fell."
 
 
+def test_p2_runs_of_labels(spark):
+    """Labels that count beside the pages: front matter in roman numerals, then arabic from 1."""
+    r, out, pos = random.Random(4), [], 0
+    for p in range(1, 13):
+        for k in range(3):
+            out.append(("d", pos, "text", f"The committee of page {p} and part {k} " + " ".join(r.choice("orders grew and margins held while freight costs fell".split()) for _ in range(30)) + ".", "", p, None, None))
+            pos += 1
+        out.append(("d", pos, "text", ["- iii -", "- iv -", "- v -"][p - 1] if p < 4 else f"- {p - 2} -", "", p, None, None))
+        pos += 1
+    out += [("e", 0, "text", "2021", "", 1, None, None), ("e", 1, "text", "The committee met.", "", 1, None, None), ("e", 2, "text", "7", "", 5, None, None)]
+    df = spark.createDataFrame(out, "doc_id string, pos int, type string, text string, heading_path string, page_no int, level int, image_path string")
+    got = {(x.doc_id, x.pos) for x in scans.defects(df).filter("defect = 'furniture'").collect()}
+    assert got == {("d", 4 * p + 3) for p in range(12)}
+
+
+def test_p2_looks_over_any_gap(spark):
+    """A cut word whose other half stands 700 positions on, and a paragraph of items in three blocks."""
+    rows = [("d", 500, "text", "The board gave its recommen-", "", 9, None, None), ("d", 1200, "text", "dation in March.", "", 12, None, None), ("e", 10, "text", "The board", "", 1, None, None), ("e", 600, "text", "met and", "", 2, None, None), ("e", 1500, "text", "adjourned.", "", 3, None, None), ("e", 1501, "text", "Then more.", "", 3, None, None)]
+    rows += [("d", 600 + i, "table", "| a |", "", 10, None, None) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id string, pos int, type string, text string, heading_path string, page_no int, level int, image_path string")
+    assert {(x.pos, x.defect) for x in scans.defects(df).collect()} == {(500, "broken_word")}
+    got = {(x.doc_id, x.start_pos): x.text for x in scans.paragraphs(df).collect()}
+    assert got == {("d", 500): "The board gave its recommendation in March.", ("e", 10): "The board met and adjourned.", ("e", 1501): "Then more."}
+
+
+@pytest.mark.parametrize("unit, fix, n", [("recornrnendation", "recommendation", 2), ("cap1tal", "capital", 1), ("clear", "dear", 1), ("dear", "clear", None), ("c1ear", "dear", 2), ("rnarket", "market", 1), ("market", "market", 0), ("m@rk3t", "market", 2), ("rn@rk3t", "market", None), ("汁划", "计划", 1), ("计划", "汁划", None)])
+def test_p2_exchanges(spark, unit, fix, n):
+    assert scans.exchanges(unit, fix) == n
+    if n:
+        a, b = spark.range(1).select(scans.scan_key(F.lit(unit)), scans.scan_key(F.lit(fix))).first()
+        assert a == b
+
+
+def test_p2_misreadings_do_not_depend_on_rarity(spark):
+    vocab = spark.createDataFrame([("recommendation", 400), ("recornrnendation", 6), ("cat", 50), ("eat", 40), ("rnarket", 3), ("market", 20), ("x1", 1)], "unit string, n bigint")
+    assert {(r.unit, r.fix) for r in scans.misreadings(vocab).collect()} == {("recornrnendation", "recommendation")}
+    bits = scans.unit_filter(vocab.select("unit"))
+    assert all(scans._has(bits, r.unit) for r in vocab.collect()) and sum(scans._has(bits, f"other{i}") for i in range(1000)) < 20
+    assert not any(scans._has(scans.unit_filter(vocab.limit(0).select("unit")), u) for u in ("a", "b"))
+
+
 def test_p2_edges(spark):
     df = page_items(spark)
     assert scans.defects(df.limit(0)).count() == 0 and scans.paragraphs(df.limit(0)).count() == 0
