@@ -15,7 +15,7 @@ import math
 from collections import deque
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from .folds import ordered
@@ -24,6 +24,8 @@ SHORT_LINE = 30
 LONGEST_FURNITURE, LEAST_PAGES, PAGE_SHARE = 50, 3, 0.6
 #: Neighbours at least so long and so alike are one.
 LEAST_ALIKE, ALIKE = 20, 0.95
+#: The longest text that is taken for a caption.
+CAPTION = 60
 COLUMNS = ("doc_id", "pos", "type", "text", "heading_path", "page_no", "level", "image_path")
 ITEM = "doc_id string, pos int, type string, text string, heading_path string, page_no int, level int, image_path string"
 
@@ -146,6 +148,16 @@ def adjacent(items: DataFrame) -> DataFrame:
     return ordered(traits(items), ["doc_id"], ["pos"], _kept, "doc_id string, pos int, type string")
 
 
+def captions(items: DataFrame, most: int = CAPTION) -> DataFrame:
+    """(doc_id, pos, image_path, caption) of images: the text just after it, else just before, if that is a short plain text."""
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    text = T.strip(F.col("text"))
+    short = F.when((F.col("type") == "text") & F.col("level").isNull() & text.isNotNull() & (text != "") & (F.length(text) <= most), text)
+    rows = items.select("doc_id", "pos", "type", "image_path", short.alias("short"))
+    near = rows.withColumn("caption", F.coalesce(F.lead("short").over(w), F.lag("short").over(w)))
+    return near.filter("type = 'image'").select("doc_id", "pos", "image_path", "caption")
+
+
 def stats(items: DataFrame) -> DataFrame:
     """Per document: characters removed, furniture, duplicates, merges, page numbers."""
     base = characters(once(items))

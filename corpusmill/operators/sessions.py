@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from .corpus import upsert
+from .retrieval import dense
 
 BUDGET, REMIND = 16_000, 40
 
@@ -75,6 +77,24 @@ def matching(memories: DataFrame, keyword: str) -> DataFrame:
     return memories.filter(F.contains(F.lower("content"), F.lit(word))) if word else memories
 
 
+def put(memories: DataFrame, new: DataFrame) -> DataFrame:
+    """Memories with the new ones in place of those of the same key."""
+    return upsert(memories, new, "key")
+
+
+def forget(memories: DataFrame, keys: DataFrame) -> DataFrame:
+    """Memories without those of the given keys; a key that is not there changes nothing."""
+    return memories.join(keys.select("key").distinct(), "key", "left_anti")
+
+
+def remembered(memories: DataFrame, queries: DataFrame, top_k: int | None = 5) -> DataFrame:
+    """(query_id, rank, key, content, source, created_at): for each query the nearest of ``memories(key, content, source, created_at, embedding)`` by
+    vector alone, however far; ``top_k`` is brought between 1 and 10. A memory without a source is an explicit one."""
+    near = dense(memories.select(F.col("key").alias("vec_id"), "embedding"), queries.select("query_id", "embedding"), T.clamp_k(top_k))
+    told = memories.select("key", "content", F.coalesce("source", F.lit("explicit")).alias("source"), F.coalesce(F.col("created_at").cast("string"), F.lit("")).alias("created_at"))
+    return near.select("query_id", "rank", F.col("vec_id").alias("key")).join(told, "key").select("query_id", "rank", "key", "content", "source", "created_at")
+
+
 def over_budget(log: DataFrame, thread: str, order: list[str], most: int = BUDGET) -> DataFrame:
     """Where a thread's text, summed in order, first passes the budget."""
     w = Window.partitionBy(thread).orderBy(*order)
@@ -92,3 +112,10 @@ def after_reset(log: DataFrame, thread: str, order: list[str], reset: Column) ->
 def deletable(tasks: DataFrame, thread: str) -> DataFrame:
     """Threads without a pending task, which alone may be deleted."""
     return tasks.groupBy(thread).agg(F.sum((F.col("status") == "pending").cast("int")).alias("pending")).filter("pending = 0").select(thread)
+
+
+def without_threads(rows: DataFrame, tasks: DataFrame, asked: DataFrame, thread: str) -> DataFrame:
+    """Rows without those of the threads asked for, except threads that still have a pending task: these are refused and keep all."""
+    busy = tasks.filter("status = 'pending'").select(thread).distinct()
+    gone = asked.select(thread).distinct().join(busy, thread, "left_anti")
+    return rows.join(gone, thread, "left_anti")

@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions import render
 from ..session import stage_table
 
 TERMINAL = ("done", "failed", "skipped")
@@ -101,3 +102,25 @@ def plan_tables(spark: SparkSession, plans: list[tuple]) -> tuple[DataFrame, Dat
     """Step and dependency tables of plans given as (plan_id, step_id, title, status, task_id, depends_on)."""
     rows = spark.createDataFrame(plans, "plan_id string, step_id string, title string, status string, task_id string, depends_on array<string>")
     return rows.drop("depends_on"), rows.select("plan_id", "step_id", F.explode("depends_on").alias("dep_id"))
+
+
+def snapshot(steps: DataFrame) -> DataFrame:
+    """(plan_id, snapshot): each plan's goal and its steps in order, of ``steps(plan_id, goal, n, step_id, title, assignee, status, digest)``."""
+    line = render.step_line(F.col("status"), F.col("step_id"), F.col("title"), F.col("assignee"), F.col("digest"))
+    rows = steps.groupBy("plan_id").agg(F.first("goal").alias("goal"), F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]).alias("lines"))
+    return rows.select("plan_id", F.concat(F.lit("plan: "), F.coalesce("goal", F.lit("")), F.lit("\n\n"), F.array_join("lines", "\n")).alias("snapshot"))
+
+
+def effects(calls: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, files, runs) of tool calls ``(by, order, tool, filename)``: the files written, each once in the order first written, and how often code ran.
+    Files are reduced to one row each before they are listed."""
+    files = calls.filter("tool = 'write_file'").groupBy(by, F.coalesce("filename", F.lit("?")).alias("filename")).agg(F.min(order).alias("at"))
+    listed = files.groupBy(by).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "filename"))), lambda x: x["filename"]), ", ").alias("files"))
+    runs = calls.filter("tool = 'execute_python'").groupBy(by).agg(F.count("*").alias("runs"))
+    return listed.join(runs, by, "full_outer").select(by, F.coalesce("files", F.lit("")).alias("files"), F.coalesce("runs", F.lit(0)).alias("runs"))
+
+
+def next_queued(items: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, next): the index, from 0, of each list's first item that is queued; -1 where none is."""
+    ranked = items.withColumn("i", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)
+    return ranked.groupBy(by).agg(F.coalesce(F.min(F.when(F.col("state") == "queued", F.col("i"))), F.lit(-1)).alias("next"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
-from ..operators import corpus
+from ..operators import corpus, pipeline, retrieval
 from ..tables import table
 from . import REGISTRY
 
@@ -159,3 +159,26 @@ def settings_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("secret_masks", sql="SELECT c_custkey, CASE WHEN length(c_name) <= 8 THEN '****' ELSE left(c_name, 4) || '****' || right(c_name, 4) END AS masked, FALSE AS was_masked FROM customer")
 def secret_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.mask(F.col("c_name")).alias("masked"), T.is_masked(F.col("c_name")).alias("was_masked"))
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Markdown files; those without a source are of a format that has no converter."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.format_string("%012d.md", "doc_id").alias("source"), F.when(F.col("source").isNull(), "pdf").otherwise("md").alias("format"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+
+
+@query("ingest_pipeline")
+def ingest_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files to chunks with vectors, and a report with every file's outcome."""
+    return pipeline.ingest(_files(spark, sf_dir), retrieval.hashed_encoder())[1]
+
+
+@query(
+    "ingest_copies",
+    sql="""WITH d AS (SELECT printf('%012d.md', doc_id) AS source, coalesce(text, '') AS text, source IS NULL AS odd FROM documents), f AS (SELECT text, min(source) AS first FROM d GROUP BY text)
+    SELECT source, 'same content as ' || first AS reason FROM d JOIN f USING (text) WHERE source <> first UNION ALL SELECT source, 'no converter for pdf' FROM d JOIN f USING (text) WHERE source = first AND odd""",
+)
+def ingest_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pipeline reports of files that are copies or of an unknown format."""
+    rows = pipeline.ingest(_files(spark, sf_dir), retrieval.hashed_encoder())[1]
+    return rows.filter("status = 'copy' or reason like 'no converter%'").select("source", "reason")

@@ -146,3 +146,34 @@ def iso_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def sizes_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", T.file_size(F.floor("o_totalprice") * 11).alias("shown"), T.short_id(F.col("o_orderkey").cast("string")).alias("short_id"))
+
+
+@query(
+    "memory_search",
+    sql="""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qe FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id AS key, list_dot_product(embedding::DOUBLE[], qe) AS score FROM embeddings, q),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, key) AS rank FROM s QUALIFY rank <= 10)
+    SELECT query_id, rank, key, left(text, 40) AS content, coalesce(source, 'explicit') AS source FROM r JOIN documents ON doc_id = key""",
+)
+def memory_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as memories under their vectors; twelve are asked for and ten given."""
+    v = table(spark, sf_dir, "embeddings")
+    notes = v.join(table(spark, sf_dir, "documents"), F.col("vec_id") == F.col("doc_id"))
+    memories = notes.select(F.col("vec_id").alias("key"), F.left("text", F.lit(40)).alias("content"), "source", F.col("published_at").alias("created_at"), "embedding")
+    # vectors without a document take part in the search, as memories without content do, and are not shown
+    every = v.select(F.col("vec_id").alias("key"), "embedding").join(memories.drop("embedding"), "key", "left")
+    asked = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    shown = memories.select("key")
+    return sessions.remembered(every, asked, 12).join(shown, "key", "left_semi").select("query_id", "rank", "key", "content", "source")
+
+
+@query(
+    "memory_changes",
+    sql="""WITH m AS (SELECT doc_id AS key, coalesce(source, 'explicit') AS source FROM documents WHERE lang = 'en' OR lang IS NULL), n AS (SELECT doc_id AS key, 'confirmed' AS source FROM documents WHERE n_chars > 1000),
+    p AS (SELECT * FROM m WHERE key NOT IN (SELECT key FROM n) UNION ALL SELECT * FROM n) SELECT * FROM p WHERE key NOT IN (SELECT doc_id FROM documents WHERE ticker IS NULL)""",
+)
+def memory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English notes as memories; long notes are put, with new keys and known ones, then those without a ticker forgotten, whether there or not."""
+    d = table(spark, sf_dir, "documents")
+    old = d.filter("lang = 'en' or lang is null").select(F.col("doc_id").alias("key"), F.coalesce("source", F.lit("explicit")).alias("source"))
+    new = d.filter("n_chars > 1000").select(F.col("doc_id").alias("key"), F.lit("confirmed").alias("source"))
+    return sessions.forget(sessions.put(old, new), d.filter("ticker is null").select(F.col("doc_id").alias("key")))

@@ -41,10 +41,24 @@ def plan_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.cascade(*plan_tables(spark, sf_dir))
 
 
-@query("plan_problems", sql=f"WITH s AS ({_STEPS}), d AS ({_DEPS}) SELECT d.plan_id, d.step_id, 'missing' AS problem FROM d ANTI JOIN s ON s.plan_id = d.plan_id AND s.step_id = d.dep_id")
+_DRAFT = """SELECT CAST(l_orderkey AS VARCHAR) AS plan_id, l_linenumber AS n, CASE WHEN l_shipdate < TIMESTAMP '1993-01-01' THEN 'step ' || l_linenumber WHEN l_returnflag = 'R' AND l_linenumber > 1 THEN 's' || (l_linenumber - 1) ELSE 's' || l_linenumber END AS step_id,
+    CASE WHEN l_quantity > 45 THEN 's99' WHEN l_tax = 0 THEN 's' || (l_linenumber + 1) WHEN l_linenumber > 1 THEN 's' || (l_linenumber - 1) END AS dep_id FROM lineitem"""
+
+
+@query(
+    "plan_problems",
+    sql=f"""WITH s AS ({_DRAFT}), d AS (SELECT * FROM s WHERE dep_id IS NOT NULL)
+    SELECT plan_id, step_id, 'id' AS problem FROM s WHERE NOT regexp_full_match(step_id, 's[0-9]+') UNION SELECT plan_id, step_id, 'repeated' FROM s GROUP BY plan_id, step_id HAVING count(*) > 1
+    UNION SELECT d.plan_id, d.step_id, 'missing' FROM d ANTI JOIN s ON s.plan_id = d.plan_id AND s.step_id = d.dep_id
+    UNION SELECT plan_id, step_id, 'order' FROM d WHERE CAST(substr(dep_id, 2) AS INT) >= TRY_CAST(substr(step_id, 2) AS INT)""",
+)
 def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps with malformed or repeated ids, or with dependencies that are missing or not smaller."""
-    return tasks.invalid(*plan_tables(spark, sf_dir))
+    """Drafts with malformed and repeated ids, and dependencies that are missing or not smaller."""
+    n, text = F.col("l_linenumber"), lambda c: F.concat(F.lit("s"), c.cast("string"))
+    step = F.when(F.col("l_shipdate") < F.lit("1993-01-01").cast("timestamp_ntz"), F.concat(F.lit("step "), n.cast("string"))).when((F.col("l_returnflag") == "R") & (n > 1), text(n - 1)).otherwise(text(n))
+    dep = F.when(F.col("l_quantity") > 45, "s99").when(F.col("l_tax") == 0, text(n + 1)).when(n > 1, text(n - 1))
+    drafts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("plan_id"), step.alias("step_id"), dep.alias("dep_id"))
+    return tasks.invalid(drafts.select("plan_id", "step_id"), drafts.filter("dep_id is not null"))
 
 
 @query("plan_finished", sql=f"WITH s AS ({_STEPS}) SELECT plan_id, bool_and(status IN ('done', 'failed', 'skipped')) AS finished, count(CASE WHEN status IN ('done', 'failed', 'skipped') THEN 1 END) AS ended, count(*) AS steps FROM s GROUP BY plan_id")
@@ -81,22 +95,22 @@ _KIND = "CASE WHEN event_type IN ('signup', 'click', 'view') THEN 'submit' ELSE
 
 @query(
     "task_status",
-    sql="""WITH t AS (SELECT user_id AS thread, CASE event_type WHEN 'error' THEN 'pending' WHEN 'purchase' THEN 'done' ELSE 'other' END AS status FROM events WHERE value > 30),
+    sql="""WITH t AS (SELECT user_id AS thread, CASE event_type WHEN 'error' THEN 'pending' WHEN 'purchase' THEN 'done' ELSE 'other' END AS status FROM events),
     a AS (SELECT thread, count(CASE WHEN status = 'pending' THEN 1 END) AS pending, count(CASE WHEN status = 'done' THEN 1 END) AS done FROM t GROUP BY thread)
     SELECT *, CASE WHEN pending > 0 THEN 'running' WHEN done > 0 THEN 'ready' ELSE 'idle' END AS state FROM a""",
 )
 def task_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open and done tasks per thread, and what a watcher shows; events of value over 30 are tasks."""
-    e = table(spark, sf_dir, "events").filter("value > 30")
+    """Open and done tasks per thread, and what a watcher shows."""
+    e = table(spark, sf_dir, "events")
     status = F.when(F.col("event_type") == "error", "pending").when(F.col("event_type") == "purchase", "done").otherwise("other")
     return tasks.ledger(e.select(F.col("user_id").alias("thread"), status.alias("status")), "thread")
 
 
-@query("deletable_threads", sql="SELECT user_id AS thread FROM events WHERE value > 30 GROUP BY user_id HAVING count(CASE WHEN event_type = 'error' THEN 1 END) = 0")
+@query("deletable_threads", sql="SELECT user_id AS thread FROM events GROUP BY user_id HAVING count(CASE WHEN event_type = 'error' THEN 1 END) = 0")
 def deletable_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators import sessions
 
-    e = table(spark, sf_dir, "events").filter("value > 30").select(F.col("user_id").alias("thread"), F.when(F.col("event_type") == "error", "pending").otherwise("done").alias("status"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("thread"), F.when(F.col("event_type") == "error", "pending").otherwise("done").alias("status"))
     return sessions.deletable(e, "thread")
 
 
@@ -131,16 +145,77 @@ def worst_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tasks.worst(checks, "s_nationkey")
 
 
+_FRAMES = """WITH q AS (SELECT question_id AS stream, question, coalesce(question_type, '') AS kind FROM test_set)
+    SELECT stream, 0 AS k, 'token' AS type, question AS value, FALSE AS bad FROM q UNION ALL SELECT stream, 1, 'unknown', NULL, TRUE FROM q
+    UNION ALL SELECT stream, 2, 'route', kind, FALSE FROM q UNION ALL SELECT stream, 3, 'unknown', length(question)::VARCHAR, FALSE FROM q"""
+
+
+def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each test question as a stream of four frames with data, a heartbeat and an unfinished frame, in pieces of eleven characters."""
+    as_json = lambda name, c: F.to_json(F.struct(c.alias(name)))
+    question, kind = F.col("question"), F.coalesce("question_type", F.lit(""))
+    two = F.concat(F.lit("data: {\r\ndata:"), F.substring(as_json("token", question), 2, 1_000_000), F.lit("\r\n\r\n: ping\r\n\r\n"))
+    rest = F.concat(F.lit('data: {"token": "br\n\nevent: x\r\ndata: '), as_json("route", kind), F.lit("\r\n\r\ndata: "), as_json("other", F.length(question)), F.lit('\n\ndata: {"token": "never ends"}'))
+    text = table(spark, sf_dir, "test_set").select(F.col("question_id").alias("stream"), F.concat(two, rest).alias("t"))
+    return text.select("stream", F.explode(F.sequence(F.lit(0), F.floor((F.length("t") - 1) / 11).cast("int"))).alias("n"), "t").select("stream", "n", F.substring(F.col("t"), F.col("n") * 11 + 1, F.lit(11)).alias("text"))
+
+
+@query("event_frames", sql=_FRAMES)
+def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames cut anywhere, with data on two lines, both kinds of line ends, heartbeats, broken JSON and an unfinished end."""
+    return jobs.frames(_pieces(spark, sf_dir))
+
+
+_SNAPSHOT = "CASE l_returnflag WHEN 'R' THEN '✗' WHEN 'A' THEN '☑' ELSE '☐' END"
+
+
 @query(
-    "event_frames",
-    sql="""SELECT question_id AS stream, CASE WHEN reviewed THEN 'token' ELSE 'unknown' END AS type, FALSE AS bad, 2 AS n FROM test_set""",
+    "plan_snapshots",
+    sql=f"""WITH l AS (SELECT l_orderkey, l_linenumber, o_orderpriority, '- ' || {_SNAPSHOT} || ' s' || l_linenumber || ' ' || l_linestatus || ' (' || l_suppkey || ')' || CASE WHEN l_returnflag = 'N' THEN '' ELSE ' — tax ' || l_returnflag END AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey)
+    SELECT CAST(l_orderkey AS VARCHAR) AS plan_id, 'plan: ' || any_value(o_orderpriority) || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY l_linenumber, line) AS snapshot FROM l GROUP BY l_orderkey""",
 )
-def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Server-sent frames of the test questions, parsed back."""
-    payload = F.to_json(F.struct(F.when(F.col("reviewed"), "token").alias("type"), F.col("question").alias("text")))
-    frame = F.concat(F.lit("data: "), payload, F.lit("\r\n\r\n: ping\r\n\r\ndata: "), payload, F.lit("\r\n\r\n"))
-    rows = jobs.frames(table(spark, sf_dir, "test_set").select(F.col("question_id").alias("stream"), F.lit(0).alias("n"), frame.alias("text")))
-    return rows.groupBy("stream", "type", "bad").agg(F.count("*").alias("n"))
+def plan_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as a plan's snapshot text."""
+    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), F.col("l_orderkey") == F.col("o_orderkey"))
+    status = F.when(F.col("l_returnflag") == "R", "failed").when(F.col("l_returnflag") == "A", "done").otherwise("pending")
+    digest = F.when(F.col("l_returnflag") != "N", F.concat(F.lit("tax\n"), "l_returnflag"))
+    return tasks.snapshot(li.select(F.col("l_orderkey").cast("string").alias("plan_id"), F.col("o_orderpriority").alias("goal"), F.col("l_linenumber").alias("n"), F.concat(F.lit("s"), F.col("l_linenumber").cast("string")).alias("step_id"), F.col("l_linestatus").alias("title"), F.col("l_suppkey").cast("string").alias("assignee"), status.alias("status"), digest.alias("digest")))
+
+
+@query(
+    "side_effects",
+    sql="""WITH c AS (SELECT user_id AS thread, event_id, event_type, json_extract_string(props, '$.k') AS f FROM events), w AS (SELECT thread, f, min(event_id) AS first_id FROM c WHERE event_type = 'purchase' GROUP BY thread, f),
+    x AS (SELECT thread, string_agg(f, ', ' ORDER BY first_id) AS files FROM w GROUP BY thread), r AS (SELECT thread, count(*) AS runs FROM c WHERE event_type = 'click' GROUP BY thread)
+    SELECT thread, coalesce(files, '') AS files, coalesce(runs, 0) AS runs FROM x FULL JOIN r USING (thread)""",
+)
+def side_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written (purchases) and code runs (clicks) per thread."""
+    tool = F.when(F.col("event_type") == "purchase", "write_file").when(F.col("event_type") == "click", "execute_python")
+    return tasks.effects(table(spark, sf_dir, "events").select(F.col("user_id").alias("thread"), "event_id", tool.alias("tool"), F.get_json_object("props", "$.k").alias("filename")), "thread", "event_id")
+
+
+@query(
+    "next_queued",
+    sql="""WITH o AS (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) SELECT o_custkey, CAST(coalesce(min(CASE WHEN o_orderstatus = 'O' THEN i END), -1) AS INT) AS next FROM o GROUP BY o_custkey""",
+)
+def next_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open orders as queued uploads of each customer's list."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "O", "queued").otherwise("done").alias("state"))
+    return tasks.next_queued(rows, "o_custkey", "o_orderkey")
+
+
+@query(
+    "after_thread_delete",
+    sql="""WITH busy AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND value > 30), asked AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'signup')
+    SELECT event_id FROM events WHERE user_id NOT IN (SELECT user_id FROM asked) OR user_id IN (SELECT user_id FROM busy)""",
+)
+def after_thread_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays when all threads with a sign-up are to be deleted and those with a costly error are still busy."""
+    from ..operators import sessions
+
+    e = table(spark, sf_dir, "events")
+    jobs_ = e.select("user_id", F.when((F.col("event_type") == "error") & (F.col("value") > 30), "pending").otherwise("done").alias("status"))
+    return sessions.without_threads(e, jobs_, e.filter("event_type = 'signup'").select("user_id"), "user_id").select("event_id")
 
 
 @query("stream_batches")

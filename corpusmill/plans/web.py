@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T, urls
-from ..operators import web
+from ..functions import render, text as T, urls
+from ..operators import retrieval, web
 from ..tables import table
 from . import REGISTRY
 
@@ -102,13 +102,88 @@ def briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", T.brief(F.col("text"), 80).alias("brief"))
 
 
+_CAPTIONS = """WITH i AS (SELECT doc_id, pos, min(type) AS type, min(text) AS text, min(level) AS level, min(image_path) AS image_path FROM parsed_items GROUP BY doc_id, pos),
+    s AS (SELECT *, CASE WHEN type = 'text' AND level IS NULL THEN nullif(regexp_replace(text, '{ends}', '', 'g'), '') END AS t FROM i), c AS (SELECT *, CASE WHEN length(t) <= 60 THEN t END AS short FROM s),
+    n AS (SELECT *, coalesce(lead(short) OVER w, lag(short) OVER w) AS caption FROM c WINDOW w AS (PARTITION BY doc_id ORDER BY pos))"""
+
+
 @query(
     "image_texts",
-    sql="""SELECT DISTINCT doc_id, pos, '[image ' || pos || ': ' || coalesce(image_path, 'none') || CASE WHEN heading_path <> '' THEN '; caption: ' || heading_path ELSE '' END || ']' AS placeholder FROM parsed_items WHERE type = 'image'""",
+    sql=_CAPTIONS.format(ends=T.ENDS) + """ SELECT doc_id, pos, '[image ' || pos || ': ' || coalesce(image_path, 'none') || CASE WHEN caption IS NOT NULL THEN '; caption: ' || caption ELSE '' END || ']' AS placeholder FROM n WHERE type = 'image'""",
 )
 def image_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = table(spark, sf_dir, "parsed_items").filter("type = 'image'")
-    return i.select("doc_id", "pos", T.image_placeholder(F.col("pos"), F.col("image_path"), F.col("heading_path")).alias("placeholder")).distinct()
+    """What stands for each image, with the caption from the text beside it."""
+    from ..operators import cleaning
+    from .cleaning import items
+
+    i = cleaning.captions(items(spark, sf_dir))
+    return i.select("doc_id", "pos", T.image_placeholder(F.col("pos"), F.col("image_path"), F.col("caption")).alias("placeholder"))
+
+
+@query("first_pages", sql="SELECT DISTINCT doc_id, pos, page_no AS page FROM parsed_items")
+def first_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each item's page from its provenance, here none or its page and the next."""
+    prov = F.when(F.col("page_no").isNotNull(), F.array(F.struct("page_no"), F.struct((F.col("page_no") + 1).alias("page_no")))).otherwise(F.array().cast("array<struct<page_no:int>>"))
+    return table(spark, sf_dir, "parsed_items").select("doc_id", "pos", render.page_of(prov).alias("page")).distinct()
+
+
+@query(
+    "evidence_texts",
+    sql=f"""WITH h AS (SELECT query_id, chunk_id, min(dense_rank) AS dense_rank, min(sparse_rank) AS sparse_rank, min(text) AS text, min(metadata.source) AS source FROM fused_children GROUP BY query_id, chunk_id),
+    a AS (SELECT *, 'a' AS part, row_number() OVER (PARTITION BY query_id ORDER BY dense_rank, chunk_id) AS n FROM h WHERE dense_rank IS NOT NULL UNION ALL SELECT *, 'b', row_number() OVER (PARTITION BY query_id ORDER BY sparse_rank, chunk_id) FROM h WHERE dense_rank IS NULL AND sparse_rank IS NOT NULL),
+    l AS (SELECT query_id, part, n, '    - ' || CASE part WHEN 'a' THEN '[' || coalesce(nullif(source, ''), chunk_id) || '] #' || coalesce(TRY_CAST(nullif(regexp_extract(chunk_id, ':c([0-9]+)$', 1), '') AS INT)::VARCHAR, '?') || ': ' || left({_squeeze('text')}, 250) ELSE left({_squeeze('chunk_id')}, 80) || ' (' || coalesce(source, '') || '): ' || left({_squeeze('text')}, 250) END AS line FROM a WHERE n <= 4),
+    s AS (SELECT query_id, string_agg(source, ' ' ORDER BY source) AS named FROM (SELECT DISTINCT query_id, source FROM h WHERE source <> '' QUALIFY dense_rank() OVER (PARTITION BY query_id ORDER BY source) <= 5) GROUP BY query_id),
+    b AS (SELECT query_id, left(string_agg(line, chr(10) ORDER BY part, n), 1200) AS block FROM l GROUP BY query_id)
+    SELECT query_id, concat_ws(chr(10), '  evidence:' || chr(10) || block, '  sources: ' || named) AS evidence FROM b LEFT JOIN s USING (query_id)""",
+)
+def evidence_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query's best hits on the dense route as hits, those found on the sparse route alone as results, in the form an answer is written from."""
+    h = table(spark, sf_dir, "fused_children").groupBy("query_id", "chunk_id").agg(F.min("dense_rank").alias("dense_rank"), F.min("sparse_rank").alias("sparse_rank"), F.min("text").alias("text"), F.min("metadata.source").alias("source"))
+    best = lambda rows, by: retrieval.top(rows, -F.col(by), render.ITEMS, ["query_id"], "chunk_id")
+    listed = lambda rows, cols: rows.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.struct(*cols).alias("x")))), lambda r: r["x"]).alias("list"))
+    hits = listed(best(h.filter("dense_rank is not null"), "dense_rank"), [F.col("source").alias("filename"), F.col("chunk_id").alias("doc_id"), T.seq_of(F.col("chunk_id")).alias("seq"), F.col("text").alias("content")]).withColumnRenamed("list", "hits")
+    lone = listed(best(h.filter("dense_rank is null and sparse_rank is not null"), "sparse_rank"), [F.col("chunk_id").alias("title"), F.col("source").alias("url"), F.col("text").alias("snippet")]).withColumnRenamed("list", "results")
+    named = retrieval.top(h.filter("source <> ''").select("query_id", "source").distinct(), F.lit(0), render.SOURCES, ["query_id"], "source").groupBy("query_id").agg(F.array_sort(F.collect_list("source")).alias("sources"))
+    rows = hits.join(lone, "query_id", "full_outer").join(named, "query_id", "left")
+    fetches = F.lit(None).cast("array<struct<url:string,excerpt:string>>")
+    return rows.select("query_id", render.evidence(F.col("hits"), F.col("results"), fetches, F.lit(None).cast("map<string,string>"), F.col("sources")).alias("evidence"))
+
+
+@query(
+    "fetch_outcomes",
+    sql=f"""SELECT 'https://docs.example/' || doc_id AS url, CASE WHEN source = 'forum_post' THEN 'unsafe: address' WHEN source = 'news_flash' THEN 'redirect without a target' WHEN source = 'call_transcript' THEN 'too many redirects' WHEN source = 'agent_digest' THEN 'status 404'
+    WHEN source = 'kb_passage' THEN 'type application/pdf' WHEN source IS NULL THEN 'no answer' WHEN {_squeeze('text')} = '' THEN 'no text' END AS outcome FROM documents""",
+)
+def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recorded fetches, the source deciding how they went."""
+    d = table(spark, sf_dir, "documents").withColumn("url", F.concat(F.lit("https://docs.example/"), F.col("doc_id").cast("string")))
+    hop = lambda url, status, location=None, kind="text/html; charset=utf-8": F.struct(F.lit(url).alias("url") if isinstance(url, str) else url.alias("url"), F.lit(status).alias("status"), F.lit(location).cast("string").alias("location"), F.lit(kind).alias("content_type"))
+    own = F.col("url")
+    many = F.array(*[hop(own, 302, "https://docs.example/on")] * 5)
+    hops = (
+        F.when(F.col("source") == "forum_post", F.array(hop(own, 302, "http://10.0.0.7/"), hop("http://10.0.0.7/", 200)))
+        .when(F.col("source") == "news_flash", F.array(hop(own, 301)))
+        .when(F.col("source") == "call_transcript", many)
+        .when(F.col("source") == "agent_digest", F.array(hop(own, 404)))
+        .when(F.col("source") == "kb_passage", F.array(hop(own, 200, None, "application/pdf")))
+        .when(F.col("source").isNotNull(), F.array(hop(own, 302, "https://docs.example/on"), hop(own, 200)))
+    )
+    return web.recorded(d.select("url", hops.alias("hops"), F.col("text").alias("body"))).select("url", "outcome")
+
+
+@query(
+    "form_values",
+    sql="""SELECT question_id, array_to_string(list_filter(regexp_split_to_array(question, '[\\s\\p{Z}]+'), lambda x: x <> ''), '|') AS args, array_to_string(list_filter(['doc=' || source_doc, 'kind=last ' || coalesce(question_type, '')], lambda x: x IS NOT NULL), ';') AS entries,
+    question_type || '|plain' AS labels, 1 AS more FROM test_set""",
+)
+def form_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a form's fields become: arguments, a map of rows of which equal keys keep the last, tool labels of which two are shown."""
+    t = table(spark, sf_dir, "test_set")
+    row = lambda k, v: F.struct(F.lit(k).alias("key"), v.cast("string").alias("value"))
+    rows = F.array(row("kind", F.col("notes")), row(" doc ", F.col("source_doc")), row(" ", F.lit("no key")), row("kind", F.concat(F.lit("last "), F.coalesce("question_type", F.lit("")))))
+    tools = render.labels(F.array(F.to_json(F.struct(F.col("question_type").alias("name"))), F.lit('"plain"'), F.lit("7")), 2)
+    shown = F.array_join(F.transform(render.entries(render.record(rows)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return t.select("question_id", F.array_join(render.arguments(F.col("question")), "|").alias("args"), shown.alias("entries"), F.array_join(tools["labels"], "|").alias("labels"), tools["more"].alias("more"))
 
 
 @query("data_uris", sql="SELECT question_id, 'data:image/png;base64,' || base64(encode(question)) AS uri FROM test_set")

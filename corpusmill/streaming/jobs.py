@@ -2,38 +2,104 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import corpus
+from ..operators.folds import ordered
 from ..session import stage_table
 
 
+# Kinds of events; a frame's kind is the first key of its object.
+KINDS = ("token", "route", "interrupt", "usage", "error")
+
+
+class Framer:
+    """Server-sent events out of text that arrives in pieces: frames end at an empty line, what follows the last one is kept for the next piece."""
+
+    def __init__(self, rest: str = "") -> None:
+        self.rest = rest
+
+    def feed(self, text: str | None) -> Iterator[tuple[str, str | None, bool]]:
+        """(kind, value, bad) of each frame that the piece ends and that has data; comments and heartbeats have none."""
+        *frames, self.rest = (self.rest + (text or "")).replace("\r\n", "\n").split("\n\n")
+        for frame in frames:
+            data = [x[5:].removeprefix(" ") for x in frame.split("\n") if x.startswith("data:")]
+            if data:
+                yield self.parsed("\n".join(data))
+
+    @staticmethod
+    def parsed(data: str) -> tuple[str, str | None, bool]:
+        try:
+            kind, value = next(iter(json.loads(data).items()))
+        except (ValueError, AttributeError, StopIteration):  # no JSON, no object, an empty one
+            return "unknown", None, True
+        return kind if kind in KINDS else "unknown", value if isinstance(value, str) else json.dumps(value, ensure_ascii=False), False
+
+
+FRAME = "stream string, k int, type string, value string, bad boolean"
+
+
 def frames(chunks: DataFrame) -> DataFrame:
-    """Server-sent events in text chunks ``(stream, n, text)`` of whole frames: CR LF to LF, frames end at an empty line, ``data:`` lines joined, JSON
-    that can't be read is marked."""
-    text = F.replace(F.replace(F.col("text"), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    rows = chunks.select("stream", "n", F.posexplode(F.split(text, "\n\n")).alias("k", "frame")).filter("trim(frame) <> ''")
-    data = F.array_join(F.transform(F.filter(F.split("frame", "\n"), lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", "")), "\n")
-    kind = F.get_json_object("data", "$.type")
-    return rows.withColumn("data", data).filter("data <> ''").select("stream", "n", "k", F.coalesce(kind, F.lit("unknown")).alias("type"), "data", F.try_parse_json("data").isNull().alias("bad"))
+    """The frames of text pieces ``(stream, n, text)``, numbered within their stream; a frame may be cut anywhere between pieces. A stream's text is walked
+    in order and only its unfinished frame is held."""
+
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        framer, k = Framer(), 0
+        for r in rows:
+            for frame in framer.feed(r.text):
+                yield key[0], k, *frame
+                k += 1
+
+    return ordered(chunks.select("stream", "n", "text"), ["stream"], ["n"], walk, FRAME)
+
+
+def _frame(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rest, k = state.get if state.exists else ("", 0)
+    framer = Framer(rest)
+    for rows in _in_order(batches):
+        out = [(key[0], *f) for text in rows["text"] for f in framer.feed(text)]
+        yield pd.DataFrame([(s, k + i, *f) for i, (s, *f) in enumerate(out)], columns=["stream", "k", "type", "value", "bad"])
+        k += len(out)
+    state.update((framer.rest, k))
+
+
+def live_frames(chunks: DataFrame) -> DataFrame:
+    """The same of a stream of pieces; the state is a stream's unfinished frame and its count."""
+    return chunks.groupBy("stream").applyInPandasWithState(_frame, FRAME, "rest string, k int", "append", GroupStateTimeout.NoTimeout)
+
+
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A group's rows of one trigger by ``n``. They arrive in Arrow batches of a bounded size; only where these overlap are they put together."""
+    held: pd.DataFrame | None = None
+    for b in batches:
+        b = b.sort_values("n")
+        if held is not None and held["n"].iloc[-1] > b["n"].iloc[0]:
+            held = pd.concat([held, b]).sort_values("n")
+            continue
+        if held is not None:
+            yield held
+        held = b
+    if held is not None:
+        yield held
 
 
 def _count(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     open_, done = state.get if state.exists else (0, 0)
-    out = []
-    for r in pd.concat(list(batches)).sort_values("n").itertuples():  # one thread's events of one trigger
-        open_ += 1 if r.kind == "submit" else -1
-        if open_ == 0 and r.kind == "finish":
-            done += 1
-            out.append((key[0], int(r.n), done))
+    for rows in _in_order(batches):
+        submits = rows["kind"].eq("submit").to_numpy()
+        level = open_ + np.cumsum(np.where(submits, 1, -1))
+        ends = rows["n"].to_numpy()[(level == 0) & ~submits]
+        yield pd.DataFrame({"thread": key[0], "n": ends.astype("int64"), "batch": np.arange(done + 1, done + 1 + len(ends), dtype="int32")})
+        open_, done = int(level[-1]), done + len(ends)
     state.update((open_, done))
-    yield pd.DataFrame(out, columns=["thread", "n", "batch"])
 
 
 def batch_completion(tasks: DataFrame) -> DataFrame:

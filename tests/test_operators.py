@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
-from corpusmill.functions import times, urls
-from corpusmill.operators import chunking, cleaning, corpus, evaluation, retrieval, sessions, tasks, web
+from corpusmill.functions import render, times, urls
+from corpusmill.operators import chunking, cleaning, corpus, evaluation, pipeline, retrieval, sessions, tasks, web
 from corpusmill.operators.folds import ordered
 from corpusmill.sources import documents, files, versioned
+from corpusmill.streaming import jobs
 
 ITEM = "doc_id string, pos int, type string, text string, heading_path string, page_no int, level int, image_path string"
 
@@ -268,6 +269,111 @@ def test_web(spark):
     assert {r.n for r in web.unique_results(rows, ["query_id"], ["n"]).collect()} == {2, 4}
 
 
+def test_evidence_budgets(spark):
+    hit = "array<struct<filename:string,doc_id:string,seq:int,content:string>>"
+    schema = f"hits {hit}, results array<struct<title:string,url:string,snippet:string>>, fetches array<struct<url:string,excerpt:string>>, facts map<string,string>, sources array<string>"
+    long = "w " * 400
+    rows = [
+        ([("f", "d", 3, " a \n b ")] + [(None, "d", None, long)] * 5, None, None, None, [str(i) for i in range(9)]),
+        (None, [("t " * 90, "u", "s")], [("u2", long * 3)], {"x": "1"}, None),
+        (None, [], None, {"k": "v", "n": "2"}, []),
+        (None, None, None, None, None),
+    ]
+    got = [r.e for r in spark.createDataFrame(rows, schema).select(render.evidence(*map(F.col, ("hits", "results", "fetches", "facts", "sources"))).alias("e")).collect()]
+    assert got[0].startswith("  evidence:\n    - [f] #3: a b\n    - [d] #?: w w") and got[0].endswith("  sources: 0 1 2 3 4") and got[0].count("    - ") == 4
+    assert max(map(len, got[0].split("\n"))) <= 270 and len(got[1]) <= 1200 + len("  evidence:\n") and "x=1" not in got[1] and got[1].count("    - ") == 2
+    assert got[2] == "  evidence:\n    - k=v\n    - n=2" and got[3] == ""
+
+
+def test_recorded_fetches(spark):
+    hop = "struct<url:string,status:int,location:string,content_type:string>"
+    ok = ("https://a.example/", 200, None, "text/html")
+    rows = [
+        ("ok", [ok], "<p>Hi <b>you</b></p>"), ("v6", [("http://[::1]/", 200, None, "text/html")], "x"), ("v6ok", [("http://[2001:db8::1]:443/", 200, None, "text/html")], "<p>x</p>"),
+        ("mapped", [("http://[::ffff:10.0.0.1]/", 200, None, "text/html")], "x"), ("late", [("https://a.example/", 302, "http://127.0.0.1/", ""), ("http://127.0.0.1/", 200, None, "text/html")], "x"),
+        ("many", [("https://a.example/", 302, "https://a.example/", "")] * 4 + [ok], "x"), ("three", [("https://a.example/", 307, "https://a.example/", "")] * 3 + [ok], "<p>y</p>"),
+        ("status", [("https://a.example/", 503, None, "text/html")], "x"), ("type", [("https://a.example/", 200, None, "image/png")], "x"), ("empty", [ok], "<script>x</script>"), ("null", None, None), ("none", [ok], None),
+        ("big", [ok], "<p>" + "字" * 900_000 + "</p>"),
+    ]
+    out = {r.url: r for r in web.recorded(spark.createDataFrame(rows, f"url string, hops array<{hop}>, body string")).collect()}
+    assert {k: r.outcome for k, r in out.items()} == {"ok": None, "v6": "unsafe: address", "v6ok": None, "mapped": "unsafe: address", "late": "unsafe: address", "many": "too many redirects", "three": None, "status": "status 503", "type": "type image/png", "empty": "no text", "null": "no answer", "none": "no text", "big": None}
+    assert out["ok"].text == "Hi you" and out["big"].cut and len(out["big"].text) == web.PAGE_CHARS and out["ok"].message.startswith('<fetched url="https://a.example/">Hi you</fetched>')
+    assert web.excerpts(spark.createDataFrame([("t", 1, out["ok"].message)], "thread string, n int, text string")).first().excerpt == "Hi you"
+
+
+@pytest.mark.parametrize("host, inside", [("::1", True), ("::", True), ("fe80::1", True), ("febf::1", True), ("fec0::1", False), ("fd12:3456::1", True), ("2001:db8::1", False), ("::ffff:192.168.0.1", True), ("::ffff:8.8.8.8", False), ("64:ff9b::10.0.0.1", True), ("1:2:3:4:5:6:7:8", False), ("1:2:3:4:5:6:7", True), ("1::2::3", True), ("g::1", True), ("", True)])
+def test_ipv6(spark, host, inside):
+    assert value(spark, urls._inside6(urls.address6(F.lit(host)))) == inside
+
+
+def test_frames_live_and_at_rest(spark, tmp_path):
+    text = 'data: {"token": "a"}\r\n\r\n: ping\n\ndata: {"route":\ndata: {"x": [1]}}\n\ndata: nonsense\n\ndata: [1]\n\nevent: y\n\ndata: {"token": "open'
+    pieces = [(s, i, text[i * n : i * n + n]) for s, n in (("one", 1), ("seven", 7), ("all", 1000)) for i in range(-(-len(text) // n))] + [("null", 0, None)]
+    df = spark.createDataFrame(pieces, "stream string, n int, text string")
+    want = [("token", "a", False), ("route", '{"x": [1]}', False), ("unknown", None, True), ("unknown", None, True)]
+    got = jobs.frames(df).orderBy("stream", "k").collect()
+    assert {s: [(r.type, r.value, r.bad) for r in got if r.stream == s] for s in ("one", "seven", "all")} == dict.fromkeys(("one", "seven", "all"), want) and len(got) == 12
+    feed = str(tmp_path / "feed")
+    df.filter("n < 9").coalesce(1).write.parquet(feed)
+    run = lambda: jobs.outcome(jobs.live_frames(spark.readStream.schema(df.schema).parquet(feed)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).start())
+    run()
+    df.filter("n >= 9").coalesce(1).write.mode("append").parquet(feed)  # frames go on in the next trigger
+    run()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()), key=str) == sorted(map(tuple, got), key=str)
+
+
+def test_ingest_isolates_failures_and_replaces(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    files_ = lambda *rows: spark.createDataFrame([(s, f, bytearray(c, "utf-8")) for s, f, c in rows], "source string, format string, content binary")
+    long = "# Title\n\n" + "\n\n".join(f"Paragraph {i} says something of its own about {i * 37} orders." for i in range(90))
+    chunks, report = pipeline.ingest(files_(("a.md", "md", long), ("b.pdf", "pdf", "x"), ("c.md", "md", long), ("d.md", "md", "  ")), retrieval.hashed_encoder(8), path)
+    got = {r.source: (r.status, r.reason) for r in report.collect()}
+    assert got == {"a.md": ("stored", None), "b.pdf": ("failed", "no converter for pdf"), "c.md": ("copy", "same content as a.md"), "d.md": ("failed", "no text")}
+    stored = versioned.read(spark, path)
+    assert stored.count() == chunks.count() > 10 and stored.filter("parent_id <> '' and size(vector) = 8").count() == stored.filter("parent_id <> ''").count()
+    with monkeypatch.context() as m:
+        m.setattr(versioned, "_point", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            pipeline.ingest(files_(("a.md", "md", "# New\n\nA short one.")), retrieval.hashed_encoder(8), path)
+    assert versioned.read(spark, path).count() == chunks.count()
+    pipeline.ingest(files_(("a.md", "md", "# New\n\nA short one.")), retrieval.hashed_encoder(8), path)
+    assert {r.text for r in versioned.read(spark, path).collect()} == {"New\n\nA short one."}
+
+
+def test_run_evaluation(spark, tmp_path):
+    chunks = spark.createDataFrame([("d1:p001", "", "d1", "zebra stripes explained"), ("d1:p001:c001", "d1:p001", "d1", "zebra stripes explained"), ("d2:p001", "", "d2", "harbour fees"), ("d2:p001:c001", "d2:p001", "d2", "harbour fees rose")], "chunk_id string, parent_id string, doc_id string, text string")
+    asked = spark.createDataFrame([("q1", "zebra stripes", "a"), ("q2", "harbour fees", "b")], "question_id string, question string, ground_truth string")
+    labels = spark.createDataFrame([("q1", "d1"), ("q2", "d2")], "query_id string, id string")
+    samples, means = pipeline.evaluate(chunks, asked, labels, retrieval.hashed_encoder(), 2, "r", str(tmp_path / "rep"))
+    assert means.first().recall_at_k == 1.0 and means.first().reciprocal_rank == 1.0 and samples.count() == 2
+    assert spark.read.json(str(tmp_path / "rep/samples")).count() == 2 and json.loads((tmp_path / "rep/report.json").read_text())["runs"][0]["questions"] == 2
+
+
+def test_memories(spark):
+    old = spark.createDataFrame([("a", "x"), ("b", "y")], "key string, content string")
+    new = spark.createDataFrame([("b", "z"), ("c", "w")], "key string, content string")
+    assert {tuple(r) for r in sessions.put(old, new).collect()} == {("a", "x"), ("b", "z"), ("c", "w")}
+    assert {r.key for r in sessions.forget(old, new).collect()} == {"a"} and sessions.forget(old, old.limit(0)).count() == 2
+    rows = spark.createDataFrame([("t1", 1), ("t2", 2)], "thread string, n int")
+    busy = spark.createDataFrame([("t1", "pending"), ("t2", "done")], "thread string, status string")
+    assert [r.n for r in sessions.without_threads(rows, busy, rows.select("thread"), "thread").collect()] == [1]
+
+
+def test_captions_and_cycles(spark):
+    rows = [item(0, "before"), item(1, None, "image", image="i.png"), item(2, "x" * 61), item(3, None, "image"), item(4, " after "), item(5, "T", level=1), item(6, None, "image")]
+    assert {r.pos: r.caption for r in cleaning.captions(spark.createDataFrame(rows, ITEM)).collect()} == {1: "before", 3: "after", 6: None}
+    steps = spark.createDataFrame([("p", f"s{i}", "failed" if i == 0 else "pending") for i in range(12)] + [("q", "s1", "pending"), ("q", "s2", "pending")], "plan_id string, step_id string, status string")
+    deps = spark.createDataFrame([("p", f"s{i}", f"s{i - 1}") for i in range(1, 12)] + [("p", "s1", "s11"), ("q", "s1", "s2"), ("q", "s2", "s1")], "plan_id string, step_id string, dep_id string")
+    assert {r.step_id for r in tasks.cascade(steps, deps).collect()} == {f"s{i}" for i in range(1, 12)} and tasks.cascade(steps.filter("plan_id = 'q'"), deps).count() == 0
+
+
+def test_form_values(spark):
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in ((" b ", "1"), ("a", "2"), ("", "3"), ("b", "4"))])
+    assert value(spark, render.record(rows)) == {"a": "2", "b": "4"} and value(spark, render.arguments(F.lit(" -x \n y  z"))) == ["-x", "y", "z"] and value(spark, render.arguments(F.lit(None))) == []
+    shown = value(spark, render.labels(F.array(F.lit('"a\\"b"'), F.lit('{"name": "n"}'), F.lit('{"x": 1}'), F.lit("3")), 3))
+    assert shown["labels"] == ['a"b', "n", '{"x": 1}'] and shown["more"] == 1
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "in" / ".hid").mkdir(parents=True)
     for name, body in (("in/a.md", "# T\n\npara\nline\n\n## S\n\n| a | b |\n|---|---|\n\n```\ncode\n```\n"), ("in/_b.md", "x"), ("in/.hid/c.md", "x")):
