@@ -21,16 +21,15 @@ processed whole.
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import stage_table
+from .bits import bit_filter, has
 from .textkit import fold
 
 REPEATS, SHARE, DOCS = 2, 0.35, 3
@@ -50,9 +49,6 @@ _CJK_FIX: dict[str, list[str]] = {}
 for _pair in CJK_MISREAD.split():
     _CJK_FIX.setdefault(_pair[1], []).append(_pair[0])
 _CJK_HOT = re.compile("[" + "".join(sorted(set(CJK_MISREAD) - {" "})) + "]")
-#: Bits of the filter that tells which units can matter: sixteen a unit between these bounds. False positives are settled by an exact join.
-FILTER_BITS = 1 << 20, 1 << 27
-
 _ROMAN = re.compile(r"(?=[ivxlc])(c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})", re.I)
 _DIGIT = str.maketrans("lIiOoSsBZzq|!", "1110055822911")
 _DIGITS = re.compile(r"[0-9lIiOoSsBZzq|!]+")
@@ -162,7 +158,7 @@ _ENDS = re.compile(r"[。；;！？!?]\s*$|[a-zà-ÿ]{2}\.\s*$|[,，、]\s*$")
 def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each line that could be furniture: its number (-1: the whole item), keys, whether it states the page, else the run of labels it may be of."""
     for b in batches:
-        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "page_no", "line", "labelled", "run", "keys")}
+        out: dict[str, list] = {k: [] for k in ("doc_id", "pos", "page_no", "line", "labelled", "keys")}
         for doc, pos, page, level, text in zip(*(b.column(n).to_pylist() for n in ("doc_id", "pos", "page_no", "level", "text"))):
             if level is not None:
                 continue
@@ -177,12 +173,12 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run = None if labelled or len(base) > 24 else run_of(base, page)
                 if base and not own and not run:
                     continue
-                for k, v in zip(out, (doc, pos, page, -1 if whole else i, labelled, run, own)):
+                for k, v in zip(out, (doc, pos, page, -1 if whole else i, labelled, own + ([f"={run}"] if run else []))):
                     out[k].append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.list_(pa.string())))], names=list(out))
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())))], names=list(out))
 
 
-LINES = "doc_id string, pos int, page_no int, line int, labelled boolean, run string, keys array<string>"
+LINES = "doc_id string, pos int, page_no int, line int, labelled boolean, keys array<string>"
 
 
 def paged(items: DataFrame) -> DataFrame:
@@ -196,18 +192,17 @@ def furniture(items: DataFrame) -> DataFrame:
     pages = items.groupBy("doc_id", "page_no").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
     edge = lines.filter("line = -1").join(pages, ["doc_id", "page_no"]).filter((F.col("pos") - F.col("lo") < EDGE) | (F.col("hi") - F.col("pos") < EDGE))
     long = pages.groupBy("doc_id").agg(F.count("*").alias("of"))
-    seen = edge.select("doc_id", "page_no", F.explode("keys").alias("key")).groupBy("doc_id", "key").agg(F.countDistinct("page_no").alias("pages")).join(long, "doc_id")
-    seen = seen.withColumn("runs", (F.col("pages") >= REPEATS) & (F.col("pages") >= SHARE * F.col("of")))
+    stated = edge.select("doc_id", "page_no", F.explode("keys").alias("key")).unionByName(lines.filter("line >= 0").select("doc_id", "page_no", F.explode(F.filter("keys", lambda k: k.startswith("="))).alias("key")))
+    seen = stated.groupBy("doc_id", "key").agg(F.countDistinct("page_no").alias("pages")).join(long, "doc_id")
+    enough = F.when(F.col("key").startswith("="), F.col("pages") >= RUN).otherwise((F.col("pages") >= REPEATS) & (F.col("pages") >= SHARE * F.col("of")))
+    seen = seen.withColumn("runs", enough)
     running = seen.filter("runs").select("doc_id", "key")
-    whole = seen.filter(~F.col("key").startswith("~")).groupBy("key").agg(F.sum(F.col("runs").cast("int")).alias("docs"), F.count("*").alias("n"))
+    whole = seen.filter(~F.col("key").rlike("^[~=]")).groupBy("key").agg(F.sum(F.col("runs").cast("int")).alias("docs"), F.count("*").alias("n"))
     everywhere = whole.filter((F.col("docs") >= DOCS) & (F.col("docs") >= 0.5 * F.col("n"))).select("key")
     asked = lines.select("doc_id", "pos", "line", F.explode("keys").alias("key"))
     near = asked.join(edge.select("doc_id", "pos", "line").distinct(), ["doc_id", "pos", "line"], "left_semi").unionByName(asked.filter("line >= 0"))
     known = near.join(running.select("doc_id", "key"), ["doc_id", "key"], "left_semi").unionByName(near.join(everywhere, "key", "left_semi").select("doc_id", "key", "pos", "line"))
-    stated = lines.filter("run is not null").join(edge.select("doc_id", "pos", F.lit(-1).alias("line")).distinct().unionByName(lines.filter("line >= 0 and run is not null").select("doc_id", "pos", "line").distinct()), ["doc_id", "pos", "line"], "left_semi")
-    runs = stated.groupBy("doc_id", "run").agg(F.countDistinct("page_no").alias("pages")).filter(F.col("pages") >= RUN)
-    counted = stated.join(runs.select("doc_id", "run"), ["doc_id", "run"], "left_semi").select("doc_id", "pos", "line")
-    return lines.filter("labelled").select("doc_id", "pos", "line").unionByName(counted).unionByName(known.select("doc_id", "pos", "line")).distinct()
+    return lines.filter("labelled").select("doc_id", "pos", "line").unionByName(known.select("doc_id", "pos", "line")).distinct()
 
 
 _WORD = re.compile(r"[A-Za-zÀ-ɏ@†$!|0-9]*[A-Za-zÀ-ɏ][A-Za-zÀ-ɏ@†$!|0-9]*")
@@ -250,24 +245,6 @@ def units(text: str) -> set[str]:
     return out
 
 
-def unit_filter(units_: DataFrame) -> bytes:
-    """A bit filter over a one-column frame of units, made by all tasks: each 32 bits are one group of an aggregation, so the driver gets a number of rows
-    bounded by the largest filter, whatever the number of units."""
-    n, (low, high) = units_.count(), FILTER_BITS
-    size = min(high, max(low, 1 << (16 * n).bit_length()))
-    slot = F.pmod(F.crc32(units_.columns[0]), F.lit(size)).cast("int")
-    words = units_.select(slot.alias("at")).groupBy(F.shiftright("at", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 31)")).alias("bits"))
-    out = np.zeros(size // 32, np.uint32)
-    for b in words.toArrow().to_batches():
-        out[b.column("word").to_numpy()] = b.column("bits").to_numpy().astype(np.uint32)
-    return out.tobytes()
-
-
-def _has(bits: bytes, unit: str) -> bool:
-    at = zlib.crc32(unit.encode("utf-8", "surrogatepass")) & (len(bits) * 8 - 1)
-    return bool(bits[at >> 3] >> (at & 7) & 1)
-
-
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(unit, n) of the texts, reduced within the task."""
     n: Counter[str] = Counter()
@@ -362,7 +339,7 @@ def _asked(bad: bytes):
                     if u not in known:
                         if len(known) > 300_000:
                             known.clear()
-                        known[u] = _has(bad, u)
+                        known[u] = has(bad, u)
                     if known[u]:
                         rows.append((doc, pos, u))
             cols = list(zip(*rows)) or [(), (), ()]
@@ -373,7 +350,7 @@ def _asked(bad: bytes):
 
 def misread(rows: DataFrame, fixes: DataFrame) -> DataFrame:
     """(doc_id, pos, unit, fix) of the body items that hold misread units."""
-    asked = rows.select("doc_id", "pos", "flat").mapInArrow(_asked(unit_filter(fixes.select("unit"))), "doc_id string, pos int, unit string")
+    asked = rows.select("doc_id", "pos", "flat").mapInArrow(_asked(bit_filter(fixes.select("unit"))), "doc_id string, pos int, unit string")
     return asked.join(fixes, "unit")
 
 

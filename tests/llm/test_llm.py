@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import answers, leaks, markup, mixing, neardup, pieces, repeats, scans, textkit, unify
+from corpusmill.llm import answers, bits, leaks, markup, mixing, neardup, pieces, repeats, scans, textkit, unify
 from corpusmill.llm.queries import REGISTRY
 
 CLASH = ", raw string, look string, size int, key string, rec int, bits int, tokens int, h int"  # names the operators use inside
@@ -169,9 +169,9 @@ def test_p2_exchanges(spark, unit, fix, n):
 def test_p2_misreadings_do_not_depend_on_rarity(spark):
     vocab = spark.createDataFrame([("recommendation", 400), ("recornrnendation", 6), ("cat", 50), ("eat", 40), ("rnarket", 3), ("market", 20), ("x1", 1)], "unit string, n bigint")
     assert {(r.unit, r.fix) for r in scans.misreadings(vocab).collect()} == {("recornrnendation", "recommendation")}
-    bits = scans.unit_filter(vocab.select("unit"))
-    assert all(scans._has(bits, r.unit) for r in vocab.collect()) and sum(scans._has(bits, f"other{i}") for i in range(1000)) < 20
-    assert not any(scans._has(scans.unit_filter(vocab.limit(0).select("unit")), u) for u in ("a", "b"))
+    own = bits.bit_filter(vocab.select("unit"))
+    assert all(bits.has(own, r.unit) for r in vocab.collect()) and sum(bits.has(own, f"other{i}") for i in range(1000)) < 20
+    assert not any(bits.has(bits.bit_filter(vocab.limit(0).select("unit")), u) for u in ("a", "b"))
 
 
 def test_p2_edges(spark):
