@@ -3,23 +3,29 @@
 Rules, in the order that decides a pair's one type: ``empty`` (null, blank, only a placeholder), ``copy`` (only gives back the question),
 ``refusal`` (multilingual phrases about not answering; an undisclosed figure is an answer unless the reference has one), ``language``
 (another script or language than the question, which does not ask for it), ``truncated`` (unclosed delimiters, open punctuation or a word
-that cannot end, a proper prefix of the reference, or an unstopped sentence whose last words end no sentence anywhere in the corpus).
-Every triggered type is emitted as a bit.
+that cannot end, a proper prefix of the reference, or an unstopped sentence whose last words, where they stand elsewhere in the corpus, do not
+end their sentence ``WHOLE`` times as often as they go on). Every triggered type is emitted as a bit.
 
-The sentence ends are those of all responses, references and (where there are any) retrieved contexts; they meet the pairs in a join. Null questions and references are taken as
+The corpus for this are all responses, references and (where there are any) retrieved contexts. Being a ratio, the rule is the same at every
+size: one chance sentence with such an end excuses nothing. The counts meet the pairs in a join. Null questions and references are taken as
 ''. Repeated samples count once (the latest arrival). Extra columns are not read.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import stage_table
+from .bits import bit_filter, has
 from .textkit import fold, shape
 
+#: How many times as often the last words of a whole sentence end one as they go on.
+WHOLE = 2
 TYPES = ("empty", "copy", "refusal", "language", "truncated")
 # Placeholders, lower case, without blanks.
 _PLACEHOLDER = re.compile(r"[\W_]*(?:n/?a|none|null|nil|nan|tb[ad]|todo|placeholder|empty|无|暂无|空|待补充|待定|略|none?provided|noanswer|\{[\"']?answer[\"']?:[\"']*(?:null)?[\"']*\})?[\W_]*", re.I)
@@ -45,12 +51,14 @@ _STOP = {
 }
 _HAN, _KANA, _LATIN, _HANGUL, _CYR = (re.compile(f"[{r}]") for r in ("㐀-䶿一-鿿", "ぁ-ヿ", "A-Za-zÀ-ɏ", "가-힣", "Ѐ-ӿ"))
 _WORDS = re.compile(r"[A-Za-zÀ-ɏ]+")
-_FRAME = set("the question is about you asked ask asking request please state what which how did does was in of for and why to restated user query prompt 问 题 是 关 于 您 的 你 在 时 请 说 明 用 户 提".split())
+_HAN_RUN = re.compile("[㐀-䶿一-鿿]+")
+_FRAME = set("the question is about you asked ask asking request please state what which how did does was in of for and why to restated user query prompt would like want wish know wondering had that 想 了 解 知 道 情 况 问 题 是 关 于 您 的 你 在 时 请 说 明 用 户 提".split())
 # Words that cannot end an answer.
 _OPEN_WORDS = set("of the a an in and because with to for by at from on was is were its than as since although while but or that which into over compared reached stood came".split())
 _OPEN_HAN = re.compile(r"(?:的|在|为|与|和|及|或|由于|因为|主要|达到|约|但|而|对|从|将|以及|其中|同期|是|录得|以)$")
 _CLOSE = {")": "(", "]": "[", "}": "{", "）": "（", "】": "【", "」": "「", "”": "“", "》": "《"}
 _STOPS = "。！？!?."
+_STOP_AT = re.compile(r"[。！？!?]|\.(?=\s|$)")
 
 
 def language(text: str) -> str | None:
@@ -91,7 +99,7 @@ def is_copy(question: str, response: str) -> bool:
         return False
     new = [w for w in own if w not in known and w not in _FRAME]
     old = [w for w in own if w in known and w not in _FRAME]
-    framed = bool(re.search(r"question|asked|asking|query|问题|您问|你问|题目|请问|提问", response, re.I))
+    framed = bool(re.search(r"question|asked|asking|query|you (?:would like|want|wish) to know|you are wondering|问题|您问|你问|题目|请问|提问|[您你]想(?:了解|知道)", response, re.I))
     return len(old) >= 0.4 * len({w for w in asked if w not in _FRAME}) and (not new or framed and len(new) <= 0.1 * len(own)) and (framed or len(own) >= 0.75 * len(asked) and own[0] == asked[0])
 
 
@@ -105,18 +113,35 @@ def unclosed(text: str) -> bool:
     return bool(stack) or text.count("```") % 2 == 1 or (text.lstrip()[:1] in '{["' and text.count('"') % 2 == 1)
 
 
+_NUMBER = re.compile(r"\d+(?:[.,]\d+)*")
+
+
 def tail(text: str) -> str | None:
     """The last words of a text, digits as #, by which ends of sentences are compared."""
-    t = re.sub(r"\d+(?:[.,]\d+)*", "#", fold(text).strip().lower()).rstrip("\"'”’」』)）*_` ")
+    t = _NUMBER.sub("#", fold(text).strip().lower()).rstrip("\"'”’」』)）*_` ")
     if _HAN.search(t[-5:]):
         return t[-5:]
     words = t.split()
     return " ".join(words[-3:]) if words else None
 
 
+def runs(text: str) -> Iterator[str]:
+    """All that would be tails of a text's sentences if these stopped earlier: runs of three words, and of five characters with Chinese ones, that
+    no stop follows."""
+    t = _NUMBER.sub("#", text.lower())
+    words = t.split()
+    for i in range(len(words) - 2):
+        yield f"{words[i]} {words[i + 1]} {words[i + 2]}"
+    for m in _HAN_RUN.finditer(t):
+        a, z = max(0, m.start() - 4), m.end() + 4
+        for i in range(a, min(z, len(t)) - 5):
+            if t[i + 5] not in _STOPS:
+                yield t[i : i + 5]
+
+
 def ends(text: str) -> list[str]:
     """Tails of the sentences of a text that end with a stop."""
-    out = [tail(text[: m.start()]) for m in re.finditer(r"[。！？!?]|\.(?=\s|$)", text)]
+    out = [tail(text[: m.start()]) for m in _STOP_AT.finditer(text)]
     return [x for x in out if x]
 
 
@@ -158,7 +183,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             text = shape(r)
             found = 2 * is_copy(q, r)
-            hidden = _UNDISCLOSED.search(text) and len(text) < 120 and bool(f.strip()) and not _UNDISCLOSED.search(f)
+            hidden = _UNDISCLOSED.search(text) and len(_STOP_AT.findall(text)) <= 1 and bool(f.strip()) and not _UNDISCLOSED.search(f)
             found |= 4 * bool(_REFUSAL.search(text) or hidden)
             asked, given = language(shape(q)), language(text)
             found |= 8 * bool(asked and given and asked != given and not _ASKS.search(q))
@@ -169,23 +194,38 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.array(bits, pa.int32()), pa.array(tails, pa.string())], names=["sample_id", "bits", "tail"])
 
 
-def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = [t for n in ("response", "reference") for t in b.column(n).to_pylist() if t]
-        if "retrieved_contexts" in b.schema.names:
-            texts += [t for c in b.column("retrieved_contexts").to_pylist() if c for t in c if t]
-        seen = {e for t in texts for e in ends(fold(t))}
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["tail"])
+def _ends(asked: bytes):
+    """(tail, ends, goes): for the tails asked about, how often they end a sentence and how often they go on, summed within a batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t for n in ("response", "reference") for t in b.column(n).to_pylist() if t]
+            if "retrieved_contexts" in b.schema.names:
+                texts += [t for c in b.column("retrieved_contexts").to_pylist() if c for t in c if t]
+            n: Counter[str] = Counter()
+            goes: Counter[str] = Counter()
+            for t, k in Counter(map(fold, texts)).items():
+                for e in ends(t):
+                    n[e] += k
+                for r in runs(t):
+                    goes[r] += k
+            known = [x for x in {*n, *goes} if has(asked, x)]
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array([n[x] for x in known], pa.int64()), pa.array([goes[x] for x in known], pa.int64())], names=["tail", "ends", "goes"])
+
+    return count
 
 
 def judged(samples: DataFrame) -> DataFrame:
     """(sample_id, bits): every sample with the types of defect it shows, bit i for ``TYPES[i]``."""
     rows = samples.groupBy("sample_id").agg(F.max_by(F.struct("user_input", "response", "reference"), "arrived_at").alias("s"), F.first(F.struct("user_input", "response", "reference")).alias("any"))
     rows = rows.select(F.col("sample_id").cast("bigint"), F.coalesce("s", "any").alias("s")).select("sample_id", "s.*")
-    first = rows.mapInArrow(_judge, "sample_id bigint, bits int, tail string")
-    known = samples.select("response", "reference", *[c for c in ("retrieved_contexts",) if c in samples.columns]).mapInArrow(_ends, "tail string").distinct().withColumn("ends", F.lit(True))
-    rest = first.join(known, "tail", "left")
-    unended = F.when(F.col("tail").isNotNull() & F.col("ends").isNull(), 16).otherwise(0)
+    first = stage_table(rows.mapInArrow(_judge, "sample_id bigint, bits int, tail string"))
+    asked = bit_filter(first.select("tail").filter("tail is not null").distinct())
+    texts = samples.select("response", "reference", *[c for c in ("retrieved_contexts",) if c in samples.columns])
+    known = texts.mapInArrow(_ends(asked), "tail string, ends bigint, goes bigint").groupBy("tail").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
+    whole = known.filter((F.col("ends") > 0) & (F.col("ends") >= WHOLE * F.col("goes"))).select("tail", F.lit(True).alias("whole"))
+    rest = first.join(whole, "tail", "left")
+    unended = F.when(F.col("tail").isNotNull() & F.col("whole").isNull(), 16).otherwise(0)
     return rest.select("sample_id", F.col("bits").bitwiseOR(unended).alias("bits"))
 
 
