@@ -13,8 +13,8 @@ inside an element that is plain text is plain text.
 Cleaning turns markup nodes into text and keeps headings (a line of their own), lists (``- ``), code, tables (pipe rows) and formulas (their
 TeX source). Text without markup is returned unchanged, byte for byte. In rows of type table the pipe rows and the divider are format.
 
-Null and empty texts hold no markup and stay as they are. Very long texts are processed whole, in pieces that end at blank lines only where
-they are beyond ``PIECE`` characters. Repeated rows count once.
+Null and empty texts hold no markup and stay as they are. Very long texts are parsed and decoded whole; only their feature rows are handed to the
+trees in stretches of ``ROWS``. Repeated rows count once.
 """
 
 from __future__ import annotations
@@ -22,18 +22,21 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
 from html.entities import html5
+from itertools import batched, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .boosting import Boosted
+from .textkit import groups
 
 SAMPLE = 5000
-PIECE = 200_000
+ROWS = 50_000
 #: A row without any of these has no candidate node.
 TRIGGER = r"[<>&#*_`~\[\]{}|\\$=^]|''|!!|(?m)^-{3,}[ \t]*$"
 _KINDS = (
@@ -50,7 +53,7 @@ _KINDS = (
     ("env", r"\\(?:begin|end)\{[^{}\n]*\}?(?:\[[^\]\n]*\])?(?:\{[^{}\n]*\})?"),
     ("command", r"~?\\[A-Za-z]+\*?(?:\[[^\[\]\n]*\])?(?:\{(?:[^{}]|\{[^{}]*\})*\})*"),
     ("escape", r"\\[%&$#_{}~^\\]"),
-    ("math", r"\$(?=[^\s$])[^$\n]{1,200}?(?<=\S)\$(?!\d)"),
+    ("math", r"\$(?=[^\s$])[^$\n]+?(?<=\S)\$(?!\d)"),
     ("wikitable", r"^\{\|[^\n]*|^\|\}|^\|-[ \t]*[^\n|]*$"),
     ("wikirow", r"^\|(?![-}|])[^\n|]*(?:\|\|[^\n|]*)+$"),
     ("wikihdr", r"^!(?!\[)[^\n]*"),
@@ -76,8 +79,8 @@ _KINDS = (
     ("strike", r"~~(?=\S)[^~\n]+?~~"),
     ("code", r"`[^`\n]+`"),
     ("wikicell", r"\|\||!!"),
-    ("bracket", r"\[[^\[\]\n]{0,40}\]"),
-    ("brace", r"\{[^{}\n]{0,80}\}"),
+    ("bracket", r"\[[^\[\]\n]*\]"),
+    ("brace", r"\{[^{}\n]*\}"),
     ("loose", r"[<>&#*_`~\[\]{}|\\$=^]+"),
 )
 NAMES = [k for k, _ in _KINDS]
@@ -155,7 +158,7 @@ def parse(text: str, table: bool = False) -> list[Node]:
             out.append(node)
             if parent is not None:
                 parent.kids.append(node)
-            if kind in _VERBATIM and end - start > 2 and depth < 4 or kind in _SPANS and end - start > 4 and depth < 4:
+            if kind in _VERBATIM and end - start > 2 or kind in _SPANS and end - start > 4:  # no kind can stand in itself, so this ends
                 a1, z1 = _inside(kind, m[0])
                 lex(start + a1, start + z1, depth + 1, node)
             at = end
@@ -219,7 +222,7 @@ def _class(c: str) -> int:
 N_FEATURES = 29
 
 
-def features(text: str, nodes: list[Node], table: bool) -> list[list[float]]:
+def features(text: str, nodes: list[Node], table: bool) -> Iterator[list[float]]:
     # of each subtree (0: the whole text): its extent, what its own nodes cover of it, its nodes and those that are no loose signs
     extent, covered, under, heavies = {id(None): len(text)}, {id(None): 0}, {id(None): 0}, {id(None): 0}
     for n in nodes:
@@ -229,7 +232,19 @@ def features(text: str, nodes: list[Node], table: bool) -> list[list[float]]:
         covered[o] += n.end - n.start
         under[o] += under[id(n)] + 1
         heavies[o] += heavies[id(n)] + (n.kind not in ("loose", "bracket", "brace"))
-    out = []
+    lines = [0, *(m.end() for m in re.finditer("\n", text))]  # where each line starts
+    known_lines: dict[int, tuple[int, int, int]] = {}
+
+    def line_of(k: int) -> tuple[int, int, int]:
+        """Where a line's text starts and ends without blanks, and where the line ends."""
+        if k not in known_lines:
+            a, z = lines[k], lines[k + 1] - 1 if k + 1 < len(lines) else len(text)
+            line = text[a:z]
+            bare = line.strip()
+            lead = a + len(line) - len(line.lstrip()) if bare else z
+            known_lines[k] = lead, lead + len(bare) if bare else a, z
+        return known_lines[k]
+
     for n in nodes:
         density, heavy = covered[id(n.owner)] / max(1, extent[id(n.owner)]), heavies[id(n.owner)]
         top = n.partner if n.partner is not None and n.partner.start < n.start else n
@@ -238,17 +253,16 @@ def features(text: str, nodes: list[Node], table: bool) -> list[list[float]]:
         inner = re.sub(r"^[<>&#*_`~\[\]{}|\\$=^!'/\s]+|[<>&#*_`~\[\]{}|\\$=^!'/;\s]+$", "", s)
         letters = sum(c.isalpha() for c in inner)
         known = 1.0 if n.kind == "tag" and n.name in _TAGS or n.kind in ("command", "env") and n.name in _COMMANDS or n.kind == "entity" and (n.name in html5 or n.name.startswith("#")) else 0.0
-        line_a, line_z = text.rfind("\n", 0, n.start) + 1, text.find("\n", n.end)
-        line_z = len(text) if line_z < 0 else line_z
-        rest = (text[line_a : n.start] + text[n.end : line_z]).strip()
-        prev_line = text[text.rfind("\n", 0, max(0, line_a - 1)) + 1 : max(0, line_a - 1)].strip() if line_a else ""
-        out.append([
+        k, k_end = bisect_right(lines, n.start) - 1, bisect_right(lines, n.end) - 1
+        line_a, (first, _, _), (_, last, line_z) = lines[k], line_of(k), line_of(k_end)
+        alone = first >= n.start and last <= n.end
+        before_a, before_z, _ = line_of(k - 1) if k else (0, 0, 0)
+        yield [
             _KIND_NO[n.kind], len(s), n.start == line_a, n.end == line_z, _class(before), _class(after), len(inner), letters / max(1, len(inner)),
             sum(c.isdigit() for c in inner) / max(1, len(inner)), " " in inner.strip(), s.count("=") + s.count("{"), known, n.partner is not None, n.depth, min(n.siblings, 20),
-            density, min(heavy, 30), np.log1p(len(text)), table, not rest, _class(inner[:1]), _class(inner[-1:]), n.start == 0, n.end == len(text), ord(s[0]), len(set(s)), 0 < len(prev_line) < 60,
+            density, min(heavy, 30), np.log1p(len(text)), table, alone, _class(inner[:1]), _class(inner[-1:]), n.start == 0, n.end == len(text), ord(s[0]), len(set(s)), 0 < before_z - before_a < 60,
             -1 if n.owner is None else _KIND_NO[n.owner.kind], under[id(top)] / max(1, extent[id(top)]),
-        ])
-    return out
+        ]
 
 
 def decode(nodes: list[Node], logits: np.ndarray) -> list[bool]:
@@ -509,8 +523,8 @@ def _clean_once(text: str, table: bool, nodes: list[Node], label: dict[int, bool
 def labels_of(texts: list[str], tables: list[bool], trees: Boosted) -> list[tuple[list[Node], list[bool]]]:
     """Nodes and labels of each text, with one call of the trees for all."""
     parsed = [parse(t, k) for t, k in zip(texts, tables)]
-    rows = [f for t, k, n in zip(texts, tables, parsed) for f in features(t, n, k)]
-    logits = trees.logit(np.array(rows, float).reshape(-1, N_FEATURES)) if rows else np.zeros(0)
+    rows = chain.from_iterable(features(t, n, k) for t, k, n in zip(texts, tables, parsed))
+    logits = np.concatenate([np.zeros(0), *(trees.logit(np.array(some, float)) for some in batched(rows, ROWS))])
     out, at = [], 0
     for n in parsed:
         out.append((n, decode(n, logits[at : at + len(n)])))
@@ -519,18 +533,19 @@ def labels_of(texts: list[str], tables: list[bool], trees: Boosted) -> list[tupl
 
 
 def clean(texts: list[str], tables: list[bool], trees: Boosted) -> list[tuple[str, int, str]]:
-    """(clean text, markup nodes, their kinds) of each text. Text that markup hid (escaped tags) is cleaned again, twice at most."""
+    """(clean text, markup nodes, their kinds) of each text. Text that markup hid (escaped tags) is cleaned again, as long as it gets shorter."""
     found = labels_of(texts, tables, trees)
     counts = [sum(y) for _, y in found]
     kinds = [",".join(sorted({n.kind for n, y in zip(nodes, ys) if y})) for nodes, ys in found]
     out = list(texts)
-    for step in range(3):
+    while True:
         again = []
         for i, (nodes, ys) in enumerate(found):
             if any(ys):
                 new = _clean_once(out[i], tables[i], nodes, {id(n): y for n, y in zip(nodes, ys)})
+                old = len(out[i])
                 out[i] = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", new)).strip("\n")
-                if any(y and n.kind == "entity" for n, y in zip(nodes, ys)) and re.search(r"</?[A-Za-z]|&[#\w]+;", out[i]):
+                if len(out[i]) < old and any(y and n.kind == "entity" for n, y in zip(nodes, ys)) and re.search(r"</?[A-Za-z]|&[#\w]+;", out[i]):
                     again.append(i)
         if not again:
             break
@@ -540,31 +555,14 @@ def clean(texts: list[str], tables: list[bool], trees: Boosted) -> list[tuple[st
     return list(zip(out, counts, kinds))
 
 
-def _pieces(text: str) -> list[str]:
-    if len(text) <= PIECE:
-        return [text]
-    out, at = [], 0
-    while len(text) - at > PIECE:
-        cut = text.rfind("\n\n", at + PIECE // 2, at + PIECE)
-        cut = cut if cut > 0 else at + PIECE
-        out.append(text[at:cut])
-        at = cut
-    return [*out, text[at:]]
-
-
 def _run(trees: Boosted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, texts, tables = b.column("row_key").to_pylist(), b.column("text").to_pylist(), [t == "table" for t in b.column("kind").to_pylist()]
-            flat = [(i, p) for i, t in enumerate(texts) for p in _pieces(t)]
-            done: list[tuple[str, int, str]] = []
-            for a in range(0, len(flat), 512):
-                part = flat[a : a + 512]
-                done += clean([p for _, p in part], [tables[i] for i, _ in part], trees)
-            out, n, kinds = [""] * len(texts), [0] * len(texts), [""] * len(texts)
-            for (i, _), (t, c, k) in zip(flat, done):
-                out[i], n[i], kinds[i] = out[i] + t, n[i] + c, ",".join(x for x in (kinds[i], k) if x)
-            yield pa.RecordBatch.from_arrays([b.column("tbl"), pa.array(keys, pa.string()), pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(kinds, pa.string())], names=["tbl", "row_key", "text", "n_nodes", "kinds"])
+            texts, tables = b.column("text").to_pylist(), [t == "table" for t in b.column("kind").to_pylist()]
+            for a, z in groups(texts):
+                out, n, kinds = zip(*clean(texts[a:z], tables[a:z], trees))
+                own = b.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([own.column("tbl"), own.column("row_key"), pa.array(out, pa.string()), pa.array(n, pa.int32()), pa.array(kinds, pa.string())], names=["tbl", "row_key", "text", "n_nodes", "kinds"])
 
     return run
 

@@ -290,6 +290,20 @@ def test_p4_edges(spark):
     assert {r.row_key for r in markup.cleaned(df).collect()} == {"3", "4"} and markup.cleaned(df, all_rows=True).count() == 4 and markup.cleaned(df.limit(0)).count() == 0
 
 
+def test_p4_has_no_length_limits():
+    """Long formulas, brackets and texts, deep nesting, and markup that crosses any position."""
+    trees = markup.model()
+    formula = "$" + " + ".join(f"a_{i}" for i in range(80)) + "$"
+    assert [n.kind for n in markup.parse(f"so {formula} holds")] [0] == "math" and len([n for n in markup.parse(f"so {formula} holds") if n.parent is None]) == 1
+    filler = "The margin lifted after strong orders. " * 12_000
+    text = filler[:199_990] + " <b>bold words over the edge</b> " + filler
+    (out, n, kinds), (long_line, m, _) = markup.clean([text, "<i>x</i> " * 3_000], [False, False], trees)
+    assert n == 2 and kinds == "tag" and "<b>" not in out and "bold words over the edge" in out and len(out) == len(text.strip("\n")) - 7
+    assert m == 6_000 and "<i>" not in long_line
+    deep = "x &amp;amp;amp;amp;lt;b&amp;amp;amp;amp;gt; y"
+    assert "amp" not in markup.clean([deep], [False], trees)[0][0]
+
+
 # ---- 5
 
 Q = "What was the net profit of Acme Foods in fiscal 2020?"
