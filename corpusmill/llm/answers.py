@@ -125,18 +125,33 @@ def tail(text: str) -> str | None:
     return " ".join(words[-3:]) if words else None
 
 
-def runs(text: str) -> Iterator[str]:
-    """All that would be tails of a text's sentences if these stopped earlier: runs of three words, and of five characters with Chinese ones, that
-    no stop follows."""
+class Asked:
+    """The tails that are asked about: all of them where they are few, beyond ``FEW`` a bit filter, whose false positives the join leaves out."""
+
+    FEW = 100_000
+
+    def __init__(self, tails: DataFrame) -> None:
+        few = tails.count() <= self.FEW
+        self.all = frozenset(r[0] for r in tails.collect()) if few else None
+        self.bits = b"" if few else bit_filter(tails)
+        self.words = frozenset(t.rsplit(" ", 1)[-1] for t in self.all) if few else None
+        self.signs = frozenset(t[-1] for t in self.all) if few else None
+
+    def __contains__(self, tail: str) -> bool:
+        return tail in self.all if self.all is not None else has(self.bits, tail)
+
+
+def runs(text: str, asked: Asked) -> Iterator[str]:
+    """Tails asked about where the text goes on: runs of three words, and of five characters with Chinese ones, that no stop follows."""
     t = _NUMBER.sub("#", text.lower())
     words = t.split()
-    for i in range(len(words) - 2):
-        yield f"{words[i]} {words[i + 1]} {words[i + 2]}"
+    for i in range(2, len(words)):
+        if asked.words is None or words[i] in asked.words:
+            yield f"{words[i - 2]} {words[i - 1]} {words[i]}"
     for m in _HAN_RUN.finditer(t):
-        a, z = max(0, m.start() - 4), m.end() + 4
-        for i in range(a, min(z, len(t)) - 5):
-            if t[i + 5] not in _STOPS:
-                yield t[i : i + 5]
+        for i in range(max(5, m.start() + 1), min(m.end() + 5, len(t))):
+            if t[i] not in _STOPS and (asked.signs is None or t[i - 1] in asked.signs):
+                yield t[i - 5 : i]
 
 
 def ends(text: str) -> list[str]:
@@ -194,7 +209,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("sample_id"), pa.array(bits, pa.int32()), pa.array(tails, pa.string())], names=["sample_id", "bits", "tail"])
 
 
-def _ends(asked: bytes):
+def _ends(asked: Asked):
     """(tail, ends, goes): for the tails asked about, how often they end a sentence and how often they go on, summed within a batch."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,9 +222,9 @@ def _ends(asked: bytes):
             for t, k in Counter(map(fold, texts)).items():
                 for e in ends(t):
                     n[e] += k
-                for r in runs(t):
+                for r in runs(t, asked):
                     goes[r] += k
-            known = [x for x in {*n, *goes} if has(asked, x)]
+            known = [x for x in {*n, *goes} if x in asked]
             yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array([n[x] for x in known], pa.int64()), pa.array([goes[x] for x in known], pa.int64())], names=["tail", "ends", "goes"])
 
     return count
@@ -220,7 +235,7 @@ def judged(samples: DataFrame) -> DataFrame:
     rows = samples.groupBy("sample_id").agg(F.max_by(F.struct("user_input", "response", "reference"), "arrived_at").alias("s"), F.first(F.struct("user_input", "response", "reference")).alias("any"))
     rows = rows.select(F.col("sample_id").cast("bigint"), F.coalesce("s", "any").alias("s")).select("sample_id", "s.*")
     first = stage_table(rows.mapInArrow(_judge, "sample_id bigint, bits int, tail string"))
-    asked = bit_filter(first.select("tail").filter("tail is not null").distinct())
+    asked = Asked(first.select("tail").filter("tail is not null").distinct())
     texts = samples.select("response", "reference", *[c for c in ("retrieved_contexts",) if c in samples.columns])
     known = texts.mapInArrow(_ends(asked), "tail string, ends bigint, goes bigint").groupBy("tail").agg(F.sum("ends").alias("ends"), F.sum("goes").alias("goes"))
     whole = known.filter((F.col("ends") > 0) & (F.col("ends") >= WHOLE * F.col("goes"))).select("tail", F.lit(True).alias("whole"))

@@ -321,6 +321,19 @@ def test_p5_cases(spark):
     got = {r.sample_id: r.d for r in answers.judged(df.unionByName(df)).select("sample_id", answers.type_of(__import__("pyspark").sql.functions.col("bits")).alias("d")).collect()}
     assert {i: got[i] for i in got} == {i: d for i, (_, _, _, d) in enumerate(CASES)}
     assert answers.judged(df.limit(0)).count() == 0
+    told = [("您想了解阿克米食品2020 年度的净利润情况。", "阿克米食品在2020 年度的净利润是多少？"), ("You would like to know the net profit that Acme Foods had in fiscal 2020.", Q)]
+    assert all(answers.is_copy(q, r) for r, q in told) and not answers.is_copy(Q, "You would like to know the net profit: it was 5.1% in fiscal 2020.")
+
+
+def test_p5_one_chance_sentence_excuses_nothing(spark, monkeypatch):
+    cut, whole = "Net income rose at the firm in the period because turbine rebates", "Net income rose at the firm in the period because freight costs eased"
+    on = [(10 + i, "q", "5%", f"Sales rose since turbine rebates were withdrawn in region {i}, and because freight costs eased.", None) for i in range(6)]
+    rows = [(1, Q, cut, "5%", None), (2, Q, whole, "5%", None), (3, "q", "5%", "Profit fell on higher turbine rebates. It rose because turbine rebates.", None), (4, "q", "5%", "It also fell because turbine rebates were cut because turbine rebates fell.", None)] + on
+    df = spark.createDataFrame(rows, "sample_id bigint, user_input string, response string, reference string, arrived_at timestamp")
+    got = {r.sample_id: r.bits for r in answers.judged(df).collect()}
+    assert got[1] & 16 and not got[2] & 16
+    monkeypatch.setattr(answers.Asked, "FEW", 0)  # beyond the bound the filter stands in
+    assert {r.sample_id: r.bits for r in answers.judged(df).collect()} == got
 
 
 # ---- 6
