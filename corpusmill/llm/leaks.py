@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import stage_table
 from .textkit import alnum_table, groups, joined, mix, shape, windows
 
 RUN = 16
@@ -57,6 +58,29 @@ def token_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mix(np.add.reduceat(parts, starts)), owner[starts]
 
 
+def _bars(ids: np.ndarray, who: np.ndarray, pairs: np.ndarray, impact: np.ndarray, terms: int, n: int) -> np.ndarray:
+    """For each text the least score of any ``RUN`` of its tokens: the sum over the distinct terms of a window. Terms stand in order of text and place;
+    a term counts in a window from its first place there, so its window sum is taken off again where it stood before within the window."""
+    span = RUN - TERM + 1
+    bar = np.full(n, math.inf)
+    if not len(ids):
+        return bar
+    key = pairs[:, 0] * n + pairs[:, 1]
+    order = np.argsort(key)
+    own = impact[order][np.searchsorted(key[order], ids * n + who)]  # what each place's term scores in its text
+    place = np.arange(len(ids))
+    by = np.lexsort((place, ids * n + who))
+    same = np.append(False, (ids[by][1:] == ids[by][:-1]) & (who[by][1:] == who[by][:-1]))
+    before = np.full(len(ids), -(10**9))
+    before[by[1:]] = np.where(same[1:], by[:-1], -(10**9))  # where the term stood last in this text
+    starts = place[: len(ids) - span + 1][who[: len(ids) - span + 1] == who[span - 1 :]]
+    for a in range(0, len(starts), 100_000):
+        at = starts[a : a + 100_000, None] + np.arange(span)
+        score = np.where(before[at] >= at[:, :1], 0.0, own[at]).sum(1)
+        np.minimum.at(bar, who[at[:, 0]], score)
+    return bar
+
+
 class Index:
     """The inverted index of one block of items."""
 
@@ -77,17 +101,12 @@ class Index:
         df = np.bincount(pairs[:, 0], minlength=len(self.terms))
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         impact = idf[pairs[:, 0]] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[pairs[:, 1]] / mean))
-        of = {(int(t), int(i)): float(x) for (t, i), x in zip(pairs, impact)}
-        bar = [math.inf] * n
-        span = RUN - TERM + 1
-        for i in range(n):
-            own = ids[who == i].tolist()
-            for k in range(len(own) - span + 1):
-                bar[i] = min(bar[i], sum(of[t, i] for t in set(own[k : k + span])))
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for (t, i), x in of.items():
-            lists[t].append((i, x / bar[i]))
-        self.lists = {t: sorted(p) for t, p in lists.items()}
+        bar = _bars(ids, who, pairs, impact, len(self.terms), n)
+        order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+        term, text, scaled = pairs[order, 0], pairs[order, 1], (impact / bar[pairs[:, 1]])[order]
+        edges = np.append(np.flatnonzero(np.append(True, term[1:] != term[:-1])), len(term)) if len(term) else np.zeros(1, np.int64)
+        both = list(zip(text.tolist(), scaled.tolist()))
+        self.lists: dict[int, list[tuple[int, float]]] = {int(term[x]): both[x:y] for x, y in zip(edges[:-1].tolist(), edges[1:].tolist())}
         self.blocks = {t: [(p[min(k + POSTINGS, len(p)) - 1][0], max(x for _, x in p[k : k + POSTINGS])) for k in range(0, len(p), POSTINGS)] for t, p in self.lists.items()}
         self.most = {t: max(x for _, x in b) for t, b in self.blocks.items()}
         self.runs: list[dict[tuple[str, ...], list[int]]] = []
@@ -152,14 +171,19 @@ class Index:
         return best
 
 
-def _search(index: Index):
+def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(form, b.column("text").to_pylist())), pa.string())], names=["doc_id", "text"])
+
+
+def _search(index: Index, formed: bool = False):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = index.terms
         small = np.zeros(1 << 18, bool)
         small[(terms & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
         for b in batches:
             ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
-            forms = [form(t) for t in texts]
+            forms = texts if formed else [form(t) for t in texts]
             rows: list[tuple] = []
             for a, z in groups(forms):
                 h, owner = token_hashes(forms[a:z])
@@ -187,10 +211,12 @@ def leaks(docs: DataFrame, items: DataFrame, block: int = BLOCK) -> DataFrame:
     texts = items.select("question_id", F.explode(F.create_map(F.lit("question"), "question", F.lit("answer"), "ground_truth")).alias("field", "text")).filter("text <> ''").distinct()
     docs = docs.filter("text <> ''").select(F.col("doc_id").cast("bigint"), "text")
     parts = max(1, math.ceil(texts.count() / block))
+    if parts > 1:  # the texts are brought to their form once, not once a block
+        docs = stage_table(docs.mapInArrow(_forms, "doc_id bigint, text string"))
     out = None
     for k in range(parts):
         own = texts.filter(F.pmod(F.xxhash64("question_id", "field", "text"), F.lit(parts)) == k)
         index = Index([tuple(r) for r in own.orderBy("question_id", "field", "text").collect()])  # at most about ``block`` short texts
-        found = docs.mapInArrow(_search(index), SCHEMA)
+        found = docs.mapInArrow(_search(index, parts > 1), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "question_id", "field").agg(F.max("run").alias("run"), F.max("score").alias("score"))

@@ -446,6 +446,24 @@ def test_block_max_wand_finds_all_above_their_bars():
         assert {i for i, _ in index.above(terms)} == {i for i, s in full.items() if s >= 1 - 1e-9}
 
 
+def test_p7_bars_are_the_least_window():
+    r = random.Random(2)
+    items = [(f"q{i}", "question", " ".join(r.choice("abcdefgh") for _ in range(r.randint(10, 40)))) for i in range(25)] + [("same", "answer", "a b " * 20)]
+    index = leaks.Index(items)
+    score = {(t, i): x for t, p in index.lists.items() for i, x in p}  # already divided by the bar, so the least window of each text is 1
+    grams = [leaks.windows(*leaks.token_hashes([leaks.form(t)]), leaks.TERM)[0] for _, _, t in items if len(t.split()) >= leaks.RUN]
+    for i, g in enumerate(grams):
+        ids = np.searchsorted(index.terms, g).tolist()
+        span = leaks.RUN - leaks.TERM + 1
+        assert min(sum(score[t, i] for t in set(ids[k : k + span])) for k in range(len(ids) - span + 1)) == pytest.approx(1)
+
+
+def test_p7_blocks_change_nothing(spark, data):
+    docs, items = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/test_set.parquet")
+    found = lambda n: {(r.doc_id, r.question_id, r.field, r.run) for r in leaks.leaks(docs, items, n).collect()}
+    assert found(20_000) == found(70) != set()
+
+
 # ---- 8
 
 
