@@ -63,19 +63,19 @@ def _children(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = neardup.reduced(_children(spark, sf_dir))
-    return neardup.record_pairs(rows, neardup.links(rows)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
+    corpus = neardup.reduced(_children(spark, sf_dir))
+    return neardup.record_pairs(corpus, neardup.links(corpus)).select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
 @query("p6_groups")
 def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each child chunk that repeats another: its group (the group's smallest chunk_id), its document and its number of links."""
-    rows = neardup.reduced(_children(spark, sf_dir))
-    found = neardup.links(rows)
+    corpus = neardup.reduced(_children(spark, sf_dir))
+    found = neardup.links(corpus)
     edges = found.select(F.hex("same_a").alias("a"), F.hex("same_b").alias("b"))
     roots = neardup.components(edges)
     degree = edges.select("a").union(edges.select("b")).groupBy("a").count()
-    members = rows.select("id", F.hex("same").alias("same")).distinct()
+    members = corpus.rows.select("id", F.hex("same").alias("same")).distinct()
     copies = members.groupBy("same").agg((F.count("*") - 1).alias("copies"))
     own = members.join(copies, "same").join(roots, F.col("same") == F.col("node"), "left").join(degree, F.col("same") == F.col("a"), "left").filter("copies > 0 or node is not null")
     own = own.select("id", F.coalesce("root", "same").alias("root"), (F.coalesce("count", F.lit(0)) + F.col("copies")).alias("links"))

@@ -356,7 +356,7 @@ def test_p6_small_sets_are_exact(spark):
     found = {tuple(x) for x in neardup.record_pairs(reduced, neardup.links(reduced)).collect()}
     low = {f"r{i:03d}": "".join(filter(str.isalnum, (t or "").lower())) for i, t in enumerate(texts)}
     assert found == {tuple(sorted((a, b))) for a, b in combinations(low, 2) if neardup.likeness(low[a], low[b]) >= 0.65}
-    assert neardup.record_pairs(none, neardup.links(none)).count() == 0
+    assert neardup.record_pairs(none, neardup.links(none)).count() == neardup.record_pairs(none, neardup.links(none, True)).count() == 0
 
 
 def test_p6_recall_at_the_threshold(spark):
@@ -373,6 +373,38 @@ def test_p6_recall_at_the_threshold(spark):
     assert len(want) > 100 and len(want & {tuple(p) for p in neardup.record_pairs(x, neardup.links(x)).collect()}) >= 0.98 * len(want)
 
 
+def test_p6_exact_way_loses_nothing(spark):
+    """Texts of few frequent words, so that all lists are long and hundreds of pairs stand around the threshold."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(60)]
+    base = [[r.choice(words) for _ in range(r.randint(8, 40))] for _ in range(12)]
+    texts = {f"t{i:03d}": "".join(w if r.random() > 0.06 else r.choice(words) for w in base[i % 12][: r.randint(6, 40)]) for i in range(220)} | {"s1": "ab", "s2": "ab", "s3": "abcde", "s4": "abcdef", "s5": "", "s6": "abcdefg"}
+    low = {i: "".join(filter(str.isalnum, t.lower())) for i, t in texts.items()}
+    want = {tuple(sorted((a, b))) for a, b in combinations(low, 2) if low[a] and neardup.likeness(low[a], low[b]) >= 0.65}
+    corpus = neardup.reduced(spark.createDataFrame(list(texts.items()), "id string, text string"))
+    assert len(want) > 300
+    for exact in (True, False):
+        got = {tuple(p) for p in neardup.record_pairs(corpus, neardup.links(corpus, exact)).collect()}
+        assert got == want if exact else got <= want and len(got) >= 0.98 * len(want)
+
+
+def test_p6_short_lists_follow_the_cost():
+    counts = np.zeros(neardup.SLOTS, np.int64)
+    counts[:1000], counts[1000:1010] = 3, 50
+    assert neardup.short_lists(counts, 10) == 2 and 3 <= neardup.short_lists(counts, 1000) < 50 and neardup.short_lists(counts, 10**6) == 50
+    assert neardup.short_lists(np.zeros(neardup.SLOTS, np.int64), 0) == 2
+
+
+def test_p6_parities_never_exceed_the_difference():
+    r = random.Random(3)
+    for _ in range(50):
+        a = "".join(r.choice("abcd") for _ in range(r.randint(5, 400)))
+        b = a[: r.randint(5, len(a))] + "".join(r.choice("abcd") for _ in range(r.randint(0, 80)))
+        h, owner = neardup.sets_of([a, b])
+        bits = np.unpackbits(neardup._parities(h, owner, 2), axis=1)
+        assert (bits[0] ^ bits[1]).sum() <= len(set(h[owner == 0].tolist()) ^ set(h[owner == 1].tolist()))
+
+
 def test_p6_no_pair_that_is_met_is_screened_out(spark):
     r = random.Random(20724)  # of 0.655, with a key in common; a sketch of one bit a minimum would tell them apart
     t = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(100)]
