@@ -168,19 +168,35 @@ def block_counts(tokens: dict[str, int], blocks: int) -> dict[str, int]:
     return out
 
 
+def _given(used: DataFrame) -> dict[str, int]:
+    return {r["source"]: int(r["n"]) for r in used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("n")).collect() if r["n"]}  # one row a source
+
+
+def scheduled(used: DataFrame, rows: list[dict], blocks: int = BLOCKS) -> tuple[DataFrame, list[tuple[int, str, int, int, int]]]:
+    """(doc_id, source, tokens, uses, blocks, slots) and the schedule: for each use of a record, pass by pass, the block of its source's stream in which
+    it starts and the slot at which the earliest deadline runs that block. The slots of all sources are at most ``blocks`` numbers and are sent along, so
+    placing the records moves none of them."""
+    given = _given(used)
+    counts = block_counts(given, min(blocks, max(1, sum(given.values()))))
+    slots = schedule(counts, sum(counts.values()))
+    at: dict[str, list[int]] = {s: [0] * n for s, n in counts.items()}
+    for slot, s, j, _, _ in slots:
+        at[s][j - 1] = slot
+    table = [(r["source"], r["own"], given[r["source"]], at[r["source"]]) for r in rows if counts.get(r["source"])]
+    size = F.broadcast(used.sparkSession.createDataFrame(table, "source string, own bigint, given bigint, at array<int>"))
+    start = lambda k: k * F.col("own") + F.col("first")
+    block = lambda k: F.least(F.size("at"), (F.floor(start(k) * F.size("at") / F.col("given")) + 1).cast("int"))
+    none = F.array().cast("array<int>")
+    each = used.join(size, "source", "left").withColumn("blocks", F.when((F.col("uses") > 0) & F.col("at").isNotNull(), F.transform(F.sequence(F.lit(0), F.col("uses") - 1), block)).otherwise(none))
+    return each.select("doc_id", "source", "tokens", "uses", "blocks", F.transform("blocks", lambda b: F.element_at("at", b)).alias("slots")), slots
+
+
 def interleave(used: DataFrame, rows: list[dict], blocks: int = BLOCKS) -> DataFrame:
     """(slot, source, block, release, deadline, uses, tokens): the schedule and what starts in each block of a source's stream of passes."""
     spark: SparkSession = used.sparkSession
-    given = {r["source"]: int(r["n"]) for r in used.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("n")).collect() if r["n"]}
-    counts = block_counts(given, min(blocks, max(1, sum(given.values()))))
-    slots = schedule(counts, sum(counts.values()))
-    table = spark.createDataFrame(slots, "slot int, source string, block int, release int, deadline int") if slots else spark.createDataFrame([], "slot int, source string, block int, release int, deadline int")
-    length = [(r["source"], r["own"], given[r["source"]], counts[r["source"]]) for r in rows if counts.get(r["source"])]
-    size = F.broadcast(spark.createDataFrame(length, "source string, own bigint, given bigint, blocks int"))
-    each = used.filter("uses > 0").join(size, "source").withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("uses") - 1)))
-    start = F.col("pass") * F.col("own") + F.col("first")
-    block = F.least(F.col("blocks"), (F.floor(start * F.col("blocks") / F.col("given")) + 1).cast("int"))
-    filled = each.groupBy("source", block.alias("block")).agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
+    placed, slots = scheduled(used, rows, blocks)
+    table = spark.createDataFrame(slots, "slot int, source string, block int, release int, deadline int")
+    filled = placed.select("source", "tokens", F.explode("blocks").alias("block")).groupBy("source", "block").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     return table.join(filled, ["source", "block"], "left").select("slot", "source", "block", "release", "deadline", F.coalesce("uses", F.lit(0)).alias("uses"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
 
 

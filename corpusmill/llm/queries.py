@@ -96,7 +96,14 @@ def p7_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.groupBy("question_id").agg(F.count("*").alias("documents"), F.sum("q").alias("with_question"), F.sum("a").alias("with_answer"), F.sum(F.col("q") * F.col("a")).alias("with_both"), F.max("run").alias("longest_run"))
 
 
-@query("p9_found")
+@query(
+    "p9_found",
+    sql="""WITH r AS (SELECT doc_id, any_value(regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g')) AS t FROM documents WHERE text IS NOT NULL GROUP BY doc_id),
+    w AS (SELECT doc_id, length(t) AS n, i, substr(t, i, 30) AS s FROM (SELECT doc_id, t, unnest(range(1, length(t) - 28)) AS i FROM r WHERE length(t) >= 30)),
+    again AS (SELECT doc_id, n, i FROM w QUALIFY row_number() OVER (PARTITION BY doc_id, s ORDER BY i) > 1),
+    c AS (SELECT doc_id, n, least(30, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 30)) AS covered FROM again)
+    SELECT doc_id FROM c GROUP BY doc_id, n HAVING sum(covered) / n::DOUBLE >= 0.30""",
+)
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.failed(repeats.ledger(table(spark, sf_dir, "documents")), "repeated_content").select("doc_id")
 
@@ -144,8 +151,8 @@ def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[dict]]:
 
 @query("p8_mix")
 def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document of a target source with its number of uses."""
-    return _mix(spark, sf_dir)[0].select("doc_id", "source", "tokens", "uses")
+    """Every document of a target source with its number of uses and the slot of the schedule at which each use starts."""
+    return mixing.scheduled(*_mix(spark, sf_dir))[0].select("doc_id", "source", "tokens", "uses", "slots")
 
 
 @query("p8_shares")

@@ -39,10 +39,11 @@ def test_runs(spark, data, name):
     assert n == distinct
 
 
-def test_p3_sql(spark, con, data):
+@pytest.mark.parametrize("name", sorted(REGISTRY.sql))
+def test_sql_twin(spark, con, data, name):
     import oracle
 
-    assert oracle.compare(spark, con, REGISTRY.queries["p3_found"], REGISTRY.sql["p3_found"], data) == ""
+    assert oracle.compare(spark, con, REGISTRY.queries[name], REGISTRY.sql[name], data) == ""
 
 
 # ---- 1
@@ -533,6 +534,23 @@ def test_p8_mix(spark, data):
     assert REGISTRY.queries["p8_schedule"](spark, data).toPandas().tokens.sum() == total
 
 
+def test_p8_every_use_has_its_slot(spark, data):
+    used, plan = REGISTRY.queries["p8_mix"](spark, data).toPandas(), REGISTRY.queries["p8_schedule"](spark, data).toPandas()
+    assert all(len(x) == n for x, n in zip(used.slots, used.uses))
+    source = dict(zip(plan.slot, plan.source))
+    assert all(source[x] == s for s, xs in zip(used.source, used.slots) for x in xs)
+    tokens = defaultdict(int)
+    for n, xs in zip(used.tokens, used.slots):
+        for x in xs:
+            tokens[x] += n
+    assert {x: tokens[x] for x in plan.slot} == dict(zip(plan.slot, plan.tokens))
+    # read by slots, every source is always less than a block from its share of the blocks
+    run, share = defaultdict(int), plan.groupby("source").size() / len(plan)
+    for k, s in enumerate(plan.sort_values("slot").source, 1):
+        run[s] += 1
+        assert all(abs(run[t] - k * share[t]) < 1 for t in share.index)
+
+
 def test_p8_edges(spark):
     docs = spark.createDataFrame([(1, "a", "one two", 5), (1, "a", "one two", 5), (2, "a", None, 5), (3, None, "x", 5), (4, "b", "w " * 100_000, 5)], "doc_id bigint, source string, text string, tokens int")
     goal = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 1), (None, 0.0, 1)], "source string, target_share double, max_repeats int")
