@@ -208,3 +208,13 @@ def offsets(items: DataFrame) -> DataFrame:
     """Where each item starts if a document's texts are joined by an empty line."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return items.select("doc_id", "pos", "page_no", F.coalesce(F.sum(F.length("text") + len(GAP)).over(w), F.lit(0)).alias("start_pos"))
+
+
+def pages_at(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, at, page): the page of each position ``wanted(doc_id, at)`` in a document's joined text: that of the last unit that starts at or before
+    it, null if that unit has none, even where an earlier one has. Positions before the first unit are left out."""
+    units = offsets(items).select("doc_id", F.col("start_pos").alias("at"), F.struct("page_no", "pos").alias("unit"), F.lit(0).alias("kind"))
+    asked = wanted.select("doc_id", F.col("at").cast("bigint").alias("at")).distinct().withColumns({"unit": F.lit(None).cast("struct<page_no:int,pos:int>"), "kind": F.lit(1)})
+    w = Window.partitionBy("doc_id").orderBy("at", "kind", "unit.pos").rowsBetween(Window.unboundedPreceding, 0)
+    rows = units.unionByName(asked).withColumn("last", F.last("unit", ignorenulls=True).over(w))
+    return rows.filter("kind = 1 and last is not null").select("doc_id", "at", F.col("last.page_no").alias("page"))

@@ -175,3 +175,16 @@ def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
 
     udf = F.pandas_udf(vectors, ArrayType(DoubleType()))
     return lambda c: udf(T.terms(F.coalesce(c, F.lit(""))))
+
+
+def routed(encoders: dict[str, Callable[[Column], Column]], kind: Column, default: Callable[[Column], Column], failed: Column | None = None) -> Callable[[Column], Column]:
+    """An encoder that sends each row to the one for its type: images to an image encoder, say, tables and texts to the default. Where a type's encoder gives
+    no vector, the row's ``failed`` text (an image's placeholder) is encoded by the default, so no row is without one."""
+
+    def encode(c: Column) -> Column:
+        out = default(c)
+        for name, f in encoders.items():
+            out = F.when(kind == name, F.coalesce(f(c), default(c if failed is None else failed))).otherwise(out)
+        return out
+
+    return encode

@@ -159,13 +159,17 @@ def page_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "page_at",
-    sql=f"""WITH i AS ({_ITEMS}), o AS (SELECT doc_id, page_no, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM i)
-    SELECT doc_id, page_no AS page_at_1000 FROM o WHERE start_pos <= 1000 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY start_pos DESC) = 1""",
+    sql=f"""WITH i AS ({_ITEMS}), o AS (SELECT doc_id, pos, page_no, length(text) AS n, coalesce(sum(length(text) + 2) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start_pos FROM i),
+    w AS (SELECT DISTINCT doc_id, CAST(unnest([start_pos, start_pos + n // 2, start_pos + n, start_pos + n + 1]) AS BIGINT) AS at_pos FROM o)
+    SELECT w.doc_id, w.at_pos AS at, o.page_no AS page FROM w JOIN o ON o.doc_id = w.doc_id AND o.start_pos <= w.at_pos QUALIFY row_number() OVER (PARTITION BY w.doc_id, w.at_pos ORDER BY o.start_pos DESC, o.pos DESC) = 1""",
 )
 def page_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page of each document's 1000th character: that of the last unit that starts before it."""
-    rows = chunking.offsets(items(spark, sf_dir)).filter("start_pos <= 1000")
-    return rows.groupBy("doc_id").agg(F.max_by(F.struct("page_no"), "start_pos").alias("at")).select("doc_id", F.col("at.page_no").alias("page_at_1000"))
+    """The page at each unit's start, middle, end and in the gap after it."""
+    rows = items(spark, sf_dir)
+    n = F.length("text")
+    starts = chunking.offsets(rows).join(rows.select("doc_id", "pos", n.alias("n")), ["doc_id", "pos"])
+    wanted = starts.filter("n is not null").select("doc_id", F.explode(F.array(F.col("start_pos"), F.col("start_pos") + F.floor(F.col("n") / 2), F.col("start_pos") + F.col("n"), F.col("start_pos") + F.col("n") + 1)).alias("at"))
+    return chunking.pages_at(rows, wanted)
 
 
 @query(

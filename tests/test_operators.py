@@ -367,6 +367,19 @@ def test_captions_and_cycles(spark):
     assert {r.step_id for r in tasks.cascade(steps, deps).collect()} == {f"s{i}" for i in range(1, 12)} and tasks.cascade(steps.filter("plan_id = 'q'"), deps).count() == 0
 
 
+def test_encoders_by_type(spark):
+    rows = spark.createDataFrame([("text", "a b", None), ("image", "data:x", "pic"), ("image", None, "pic")], "kind string, content string, shown string")
+    flat = lambda n: lambda c: F.when(c.isNotNull(), F.array(F.lit(float(n)), F.length(c).cast("double")))
+    got = [r.v for r in rows.select(retrieval.routed({"image": flat(2)}, F.col("kind"), flat(1), F.col("shown"))(F.col("content")).alias("v")).collect()]
+    assert got == [[1.0, 3.0], [2.0, 6.0], [1.0, 3.0]]
+
+
+def test_pages_at_positions(spark):
+    rows = spark.createDataFrame([item(0, "abc", page=1), item(1, "de", page=None), item(2, "", page=2), item(3, "f", page=3)], ITEM)
+    asked = spark.createDataFrame([("d", n) for n in (0, 4, 5, 8, 9, 10, 11, 99)] + [("none", 0), ("d", 0)], "doc_id string, at int")
+    assert {r["at"]: r.page for r in chunking.pages_at(rows, asked).collect()} == {0: 1, 4: 1, 5: None, 8: None, 9: 2, 10: 2, 11: 3, 99: 3}
+
+
 def test_form_values(spark):
     rows = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in ((" b ", "1"), ("a", "2"), ("", "3"), ("b", "4"))])
     assert value(spark, render.record(rows)) == {"a": "2", "b": "4"} and value(spark, render.arguments(F.lit(" -x \n y  z"))) == ["-x", "y", "z"] and value(spark, render.arguments(F.lit(None))) == []
