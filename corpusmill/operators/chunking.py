@@ -14,9 +14,10 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterable, Iterator
-from itertools import groupby
+from itertools import groupby, tee
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import cleaning
@@ -188,6 +189,20 @@ def cleaned(items: DataFrame) -> DataFrame:
     return ordered(cleaning.body(items), ["doc_id"], ["pos"], walk, CHUNK)
 
 
+def placed(items: DataFrame, high: int = HIGH) -> DataFrame:
+    """(doc_id, pos, block, parent): the number of the block that each item with text opens or goes on, and of the parent it goes into."""
+
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        mine, again = tee((r.pos, Unit(*r[2:])) for r in rows if r.text)
+        numbers = (n for n, _ in numbered((u for _, u in mine), high))
+        places, fed = tee(again)
+        for parent, block in enumerate(blocks((u for _, u in fed), high), 1):
+            for _ in block:
+                yield key[0], next(places)[0], next(numbers), parent
+
+    return ordered(items.select("doc_id", "pos", *Unit._fields), ["doc_id"], ["pos"], walk, "doc_id string, pos int, block int, parent int")
+
+
 def heading_paths(items: DataFrame) -> DataFrame:
     """The breadcrumb above each item, from headings and their levels: for each level the last title, forgotten at a shallower heading. A
     heading's own path is without itself."""
@@ -218,3 +233,13 @@ def pages_at(items: DataFrame, wanted: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id").orderBy("at", "kind", "unit.pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = units.unionByName(asked).withColumn("last", F.last("unit", ignorenulls=True).over(w))
     return rows.filter("kind = 1 and last is not null").select("doc_id", "at", F.col("last.page_no").alias("page"))
+
+
+def tails(texts: DataFrame, overlap: int = OVERLAP) -> DataFrame:
+    """(id, tail) of ``texts(id, text)``: what the piece after each would begin with."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([tail(t, overlap) if t is not None else None for t in b.column("text").to_pylist()], pa.string())], names=["id", "tail"])
+
+    return texts.select("id", "text").mapInArrow(run, "id string, tail string")

@@ -143,9 +143,11 @@ def clean(items: DataFrame) -> DataFrame:
     return ordered(body(items), ["doc_id"], ["pos"], _tidied, ITEM + ", merged int, duplicates int, numbers int")
 
 
-def adjacent(items: DataFrame) -> DataFrame:
-    """(doc_id, pos, type) that rule 4 alone keeps: against the last two kept items, so A, B, B, A keeps A, B."""
-    return ordered(traits(items), ["doc_id"], ["pos"], _kept, "doc_id string, pos int, type string")
+def adjacent(items: DataFrame, similar: bool = True) -> DataFrame:
+    """(doc_id, pos, type) that rule 4 alone keeps: against the last two kept items, so A, B, B, A keeps A, B. Without ``similar`` only equal letters are
+    repeats."""
+    rows = traits(items)
+    return ordered(rows if similar else rows.withColumn("fuzzy", F.lit(False)), ["doc_id"], ["pos"], _kept, "doc_id string, pos int, type string")
 
 
 def captions(items: DataFrame, most: int = CAPTION) -> DataFrame:

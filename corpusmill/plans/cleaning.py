@@ -112,6 +112,48 @@ def adjacent_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.adjacent(items(spark, sf_dir))
 
 
+@query(
+    "twin_neighbours",
+    sql=f"""WITH RECURSIVE i AS ({_ITEMS}), t AS (SELECT doc_id, pos, type, CASE WHEN level IS NULL THEN nullif(lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g')), '') END AS letters, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM i),
+    n AS (SELECT *, type || '/' || letters AS twin FROM t),
+    w(doc_id, pos, type, k, x, y, kept) AS (SELECT doc_id, pos, type, k, NULL::VARCHAR, twin, TRUE FROM n WHERE k = 1
+      UNION ALL SELECT doc_id, pos, type, k, CASE WHEN again THEN x ELSE y END, CASE WHEN again THEN y ELSE twin END, NOT again
+      FROM (SELECT n.*, w.x, w.y, coalesce(n.twin = w.x, FALSE) OR coalesce(n.twin = w.y, FALSE) AS again FROM w JOIN n ON n.doc_id = w.doc_id AND n.k = w.k + 1))
+    SELECT doc_id, pos, type FROM w WHERE kept""",
+)
+def twin_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that stay after the neighbour rule by equal letters: A, B, B, A keeps A, B."""
+    return cleaning.adjacent(items(spark, sf_dir), similar=False)
+
+
+_BLOCKS = f"""i AS ({_ITEMS}), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k, level IS NULL AND type IN ('table', 'image') AS alone FROM i WHERE text <> ''),
+    w(doc_id, pos, k, level, block, filled, sealed, depth) AS (SELECT doc_id, pos, k, level, 1, length(text), alone, level FROM n WHERE k = 1
+      UNION ALL SELECT doc_id, pos, k, level, block + fresh::INT, n_chars + CASE WHEN fresh THEN 0 ELSE filled END, alone, coalesce(level, depth)
+      FROM (SELECT n.doc_id, n.pos, n.k, n.level, n.alone, length(n.text) AS n_chars, w.block, w.filled, w.depth,
+            CASE WHEN n.level IS NOT NULL THEN w.sealed OR w.depth IS NULL OR n.level <= w.depth ELSE w.sealed OR n.alone OR w.filled + length(n.text) > {chunking.HIGH} END AS fresh FROM w JOIN n ON n.doc_id = w.doc_id AND n.k = w.k + 1))"""
+
+
+@query(
+    "parent_blocks",
+    sql=f"""WITH RECURSIVE {_BLOCKS}, b AS (SELECT doc_id, block, bool_and(level IS NOT NULL) AS bare, arg_min(level IS NOT NULL, pos) AS titled FROM w GROUP BY doc_id, block),
+    p AS (SELECT doc_id, block, sum(CASE WHEN coalesce(before, FALSE) AND NOT bare AND NOT titled THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY block) AS parent FROM (SELECT *, lag(bare) OVER (PARTITION BY doc_id ORDER BY block) AS before FROM b))
+    SELECT w.doc_id, w.pos, w.block, CAST(p.parent AS INT) AS parent FROM w JOIN p USING (doc_id, block)""",
+)
+def parent_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks packed up to the bound, cut at headings, tables and images, and the parents they make, headings alone handed on."""
+    return chunking.placed(items(spark, sf_dir))
+
+
+@query(
+    "overlap_tails",
+    sql=f"""WITH t AS (SELECT DISTINCT chunk_id AS id, right(text, {chunking.OVERLAP}) AS w, length(text) AS n FROM chunks WHERE text IS NOT NULL), e AS (SELECT *, length(regexp_extract(w, '(?s)^(.*?[。！？；…]+[」』”）)\\]】\"]*)', 1)) AS cut FROM t),
+    c AS (SELECT id, n, CASE WHEN cut BETWEEN 1 AND {chunking.TOLERANCE} THEN substr(w, cut + 1) ELSE w END AS tail FROM e) SELECT id, CASE WHEN n <= {chunking.OVERLAP} THEN '' ELSE {_strip('tail')} END AS tail FROM c""",
+)
+def overlap_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the piece after each chunk would begin with, were it a piece."""
+    return chunking.tails(table(spark, sf_dir, "chunks").filter("text is not null").select(F.col("chunk_id").alias("id"), "text").distinct())
+
+
 @query("clean_document")
 def clean_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(items(spark, sf_dir))

@@ -218,7 +218,8 @@ def after_thread_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.without_threads(e, jobs_, e.filter("event_type = 'signup'").select("user_id"), "user_id").select("event_id")
 
 
-@query("stream_batches")
+@query("stream_batches", sql=f"""WITH t AS (SELECT user_id AS thread, event_id AS n, {_KIND} AS kind FROM events), o AS (SELECT *, sum(CASE kind WHEN 'submit' THEN 1 ELSE -1 END) OVER (PARTITION BY thread ORDER BY n) AS open FROM t)
+    SELECT thread::VARCHAR AS thread, n, CAST(row_number() OVER (PARTITION BY thread ORDER BY n) AS INT) AS batch FROM o WHERE open = 0 AND kind = 'finish'""")
 def stream_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batch completion as a stream with state, run over the events that are there."""
     import uuid

@@ -171,6 +171,18 @@ def fetch_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.recorded(d.select("url", hops.alias("hops"), F.col("text").alias("body"))).select("url", "outcome")
 
 
+@query(
+    "fetch_excerpts",
+    sql=f"""WITH m AS (SELECT ticker AS thread, doc_id AS n, 'https://docs.example/' || coalesce(source, '') AS url, text FROM documents WHERE ticker IS NOT NULL), f AS (SELECT thread, url, min(n) AS n FROM m GROUP BY thread, url)
+    SELECT thread, n, url, left(regexp_replace(coalesce(text, ''), '{T.ENDS}', '', 'g'), 2000) AS excerpt FROM m JOIN f USING (thread, url, n)""",
+)
+def fetch_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as fetch messages of their ticker's thread; each source is one page, told by its first message."""
+    d = table(spark, sf_dir, "documents").filter("ticker is not null")
+    wrapped = F.concat(F.lit('<fetched url="https://docs.example/'), F.coalesce("source", F.lit("")), F.lit('">'), F.coalesce("text", F.lit("")), F.lit("</fetched>"))
+    return web.excerpts(d.select(F.col("ticker").alias("thread"), F.col("doc_id").alias("n"), wrapped.alias("text")))
+
+
 @query(
     "form_values",
     sql="""SELECT question_id, array_to_string(list_filter(regexp_split_to_array(question, '[\\s\\p{Z}]+'), lambda x: x <> ''), '|') AS args, array_to_string(list_filter(['doc=' || source_doc, 'kind=last ' || coalesce(question_type, '')], lambda x: x IS NOT NULL), ';') AS entries,
