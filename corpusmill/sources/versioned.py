@@ -4,7 +4,7 @@ A table is a folder with one folder of files per write and the file ``_current``
 change writes the buckets it touches into a new folder and then replaces ``_current`` in one step (a rename over the old file where the file
 system has one, else the overwriting of a single small object). A reader takes the names from ``_current``, so it sees the rows before a change or
 those after it; a write that fails before the last step leaves the table as it was. Folders that neither the present state nor the one before
-it names are removed, so a reader that began before a change can end.
+it names are removed, so a reader that began before a change can end. A table has one writer at a time.
 """
 
 from __future__ import annotations
