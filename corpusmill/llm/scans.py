@@ -182,26 +182,24 @@ LINES = "doc_id string, pos int, page_no int, line int, labelled boolean, keys a
 
 
 def paged(items: DataFrame) -> DataFrame:
-    """Text items of paged documents, each once."""
-    return items.filter("type = 'text' and page_no is not null and text <> ''").select("doc_id", "pos", "page_no", "level", "text").dropDuplicates(["doc_id", "pos"])
+    """Text items of paged documents, each once, written for the steps that read them."""
+    return stage_table(items.filter("type = 'text' and page_no is not null and text <> ''").select("doc_id", "pos", "page_no", "level", "text").dropDuplicates(["doc_id", "pos"]))
 
 
 def furniture(items: DataFrame) -> DataFrame:
     """(doc_id, pos, line): lines that are furniture, line -1 for a whole item. ``items`` come from ``paged``."""
     lines = stage_table(items.mapInArrow(_lines, LINES))
     pages = items.groupBy("doc_id", "page_no").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    edge = lines.filter("line = -1").join(pages, ["doc_id", "page_no"]).filter((F.col("pos") - F.col("lo") < EDGE) | (F.col("hi") - F.col("pos") < EDGE))
+    placed = lines.filter(F.size("keys") > 0).join(pages, ["doc_id", "page_no"]).filter((F.col("line") >= 0) | (F.col("pos") - F.col("lo") < EDGE) | (F.col("hi") - F.col("pos") < EDGE))
+    near = stage_table(placed.select("doc_id", "page_no", "pos", "line", F.explode("keys").alias("key")))
     long = pages.groupBy("doc_id").agg(F.count("*").alias("of"))
-    stated = edge.select("doc_id", "page_no", F.explode("keys").alias("key")).unionByName(lines.filter("line >= 0").select("doc_id", "page_no", F.explode(F.filter("keys", lambda k: k.startswith("="))).alias("key")))
-    seen = stated.groupBy("doc_id", "key").agg(F.countDistinct("page_no").alias("pages")).join(long, "doc_id")
+    seen = near.filter("line = -1 or key like '=%'").groupBy("doc_id", "key").agg(F.countDistinct("page_no").alias("pages")).join(long, "doc_id")
     enough = F.when(F.col("key").startswith("="), F.col("pages") >= RUN).otherwise((F.col("pages") >= REPEATS) & (F.col("pages") >= SHARE * F.col("of")))
     seen = seen.withColumn("runs", enough)
     running = seen.filter("runs").select("doc_id", "key")
     whole = seen.filter(~F.col("key").rlike("^[~=]")).groupBy("key").agg(F.sum(F.col("runs").cast("int")).alias("docs"), F.count("*").alias("n"))
     everywhere = whole.filter((F.col("docs") >= DOCS) & (F.col("docs") >= 0.5 * F.col("n"))).select("key")
-    asked = lines.select("doc_id", "pos", "line", F.explode("keys").alias("key"))
-    near = asked.join(edge.select("doc_id", "pos", "line").distinct(), ["doc_id", "pos", "line"], "left_semi").unionByName(asked.filter("line >= 0"))
-    known = near.join(running.select("doc_id", "key"), ["doc_id", "key"], "left_semi").unionByName(near.join(everywhere, "key", "left_semi").select("doc_id", "key", "pos", "line"))
+    known = near.join(running, ["doc_id", "key"], "left_semi").unionByName(near.join(everywhere, "key", "left_semi"))
     return lines.filter("labelled").select("doc_id", "pos", "line").unionByName(known.select("doc_id", "pos", "line")).distinct()
 
 
