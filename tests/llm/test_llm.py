@@ -392,7 +392,7 @@ def test_p6_exact_way_loses_nothing(spark):
 def test_p6_short_lists_follow_the_cost():
     counts = np.zeros(neardup.SLOTS, np.int64)
     counts[:1000], counts[1000:1010] = 3, 50
-    assert neardup.short_lists(counts, 10) == 2 and 3 <= neardup.short_lists(counts, 100) < 50 and neardup.short_lists(counts, 10**6) == 50
+    assert neardup.short_lists(counts, 10) == 2 and 3 <= neardup.short_lists(counts, 200) < 50 and neardup.short_lists(counts, 10**6) == 50
     assert neardup.short_lists(np.zeros(neardup.SLOTS, np.int64), 0) == 2
 
 
