@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import answers, bits, leaks, markup, mixing, neardup, pieces, repeats, scans, textkit, unify
+from corpusmill.llm import answers, bits, blocks, leaks, markup, mixing, neardup, pieces, repeats, scans, textkit, unify
 from corpusmill.llm.queries import REGISTRY
 
 CLASH = ", raw string, look string, size int, key string, rec int, bits int, tokens int, h int"  # names the operators use inside
@@ -389,6 +389,39 @@ def test_p6_exact_way_loses_nothing(spark):
         assert got == want if exact else got <= want and len(got) >= 0.98 * len(want)
 
 
+def test_p6_long_lists_lose_no_pair(spark):
+    """Fifty variants of each text, most two of them 0.66 alike, every shared element in 45 or more: subsets drawn at random miss some of the pairs."""
+    r, texts = random.Random(5), {}
+    for i in range(4):
+        t = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(200)]
+        for v in range(50):
+            u = list(t)
+            u[v::50] = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(4)]
+            texts[f"t{i}v{v:02d}"] = "".join(u)
+    want = {(a, b) for a, b in combinations(sorted(texts), 2) if a[:2] == b[:2] and neardup.likeness(texts[a], texts[b]) >= 0.65}
+    corpus = neardup.reduced(spark.createDataFrame(list(texts.items()), "id string, text string"))
+    assert neardup.short_lists(corpus.counts, len(texts)) < 45 and len(want) > 4_000
+    assert {tuple(p) for p in neardup.record_pairs(corpus, neardup.links(corpus)).collect()} == want
+
+
+def test_p6_cells_and_widths_lose_no_pair(spark, monkeypatch):
+    """Sets of 10 to 1,300 elements, cut and changed copies of each other, in one cell and in three."""
+    r, texts = random.Random(7), {}
+    for i in range(60):
+        t = [chr(r.randrange(0x4E00, 0x9000)) for _ in range(int(24 * 1.07**i))]
+        for v in range(8):
+            u = t[: r.randint(int(0.62 * len(t)), len(t))]
+            for k in r.sample(range(len(u)), r.randint(0, len(u) // 40)):
+                u[k] = "x"
+            texts[f"t{i:02d}v{v}"] = "".join(u)
+    want = {(a, b) for a, b in combinations(sorted(texts), 2) if a[:3] == b[:3] and neardup.likeness(texts[a], texts[b]) >= 0.65}
+    corpus = neardup.reduced(spark.createDataFrame(list(texts.items()), "id string, text string"))
+    monkeypatch.setattr(neardup, "short_lists", lambda counts, sets: 2)
+    for cells in (1, 3):
+        monkeypatch.setattr(blocks, "cells_of", lambda *_: cells)  # noqa: B023
+        assert len(want) > 500 and {tuple(p) for p in neardup.record_pairs(corpus, neardup.links(corpus)).collect()} == want
+
+
 def test_p6_short_lists_follow_the_cost():
     counts = np.zeros(neardup.SLOTS, np.int64)
     counts[:1000], counts[1000:1010] = 3, 50
