@@ -422,6 +422,61 @@ def test_p6_cells_and_widths_lose_no_pair(spark, monkeypatch):
         assert len(want) > 500 and {tuple(p) for p in neardup.record_pairs(corpus, neardup.links(corpus)).collect()} == want
 
 
+def _sides(sets, common):
+    """The sides of one width of sets of numbers, all of which may be shared; those below ``common`` are the common ones."""
+    h = np.array([x for s in sets for x in sorted(s)], np.uint64)
+    n = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), n)
+    placed = [(i, g, bits) for i, e, g, bits in blocks.places(h, owner, n, 0.65) if e == 9]
+    i, g = np.array([x[0] for x in placed]), np.array([x[1] for x in placed])
+    return blocks.sides(i, (n[i] << 32) | (n[i] << 1) | g, np.bincount(owner[h < common], minlength=len(n))[i], b"".join(x[2] for x in placed), 0.65)
+
+
+def _pairs(x, y):
+    return {tuple(sorted((int(x.rec[i]), int(y.rec[j])))) for u, v in blocks.close(x, y, 0.65) for i, j in zip(u, v)}
+
+
+def test_p6_sets_without_enough_in_common_are_not_tested(monkeypatch):
+    """Half of the sets have mostly common elements, half mostly rarer ones: the halves don't meet, and no wanted pair is lost."""
+    r, sets, tested = random.Random(11), [], []
+    for k in range(400):
+        many = 220 if k % 2 else 50
+        own = {*r.sample(range(1_000), many), *r.sample(range(1_000, 50_000), 270 - many)}
+        sets += [own, {*r.sample(sorted(own), r.randint(215, 260)), *r.sample(range(50_000, 60_000), 12)}]
+    wanted = {(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.65 * len(sets[a] | sets[b])}
+    tile = blocks._tile
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    monkeypatch.setattr(blocks, "_tile", lambda x, y, a, z, columns, space: tested.append((z - a) * len(columns)) or tile(x, y, a, z, columns, space))
+    x, _ = _sides(sets, 1_000)
+    found = _pairs(x, x)
+    assert len(wanted) > 300 and wanted <= found and len(found) < 2 * len(wanted)
+    assert sum(tested) < 0.35 * len(sets) ** 2  # each against each once is 0.5, and what a tile has below the diagonal
+
+
+def test_p6_tiles_of_any_shape_lose_no_pair(monkeypatch):
+    """Sets of 200 to 400 elements and guests of the width below, around the threshold; tiles cut small, products in double precision, parities folded at will."""
+    r, sets = random.Random(12), []
+    for _ in range(60):
+        own = r.sample(range(100_000), r.randint(170, 390))
+        sets += [set(own), *({*own[r.randint(0, len(own) // 3) :], *r.sample(range(100_000), r.randint(0, 30))} for _ in range(4))]
+    wanted = {(a, b) for a, b in combinations(range(len(sets)), 2) if len(sets[a] & sets[b]) >= 0.65 * len(sets[a] | sets[b])}
+    x, guests = _sides(sets, 30_000)
+    own, met = {*x.rec.tolist()}, []
+    wanted = {p for p in wanted if own & {*p} and {*p} <= own | {*guests.rec.tolist()}}
+    usual, take = (512, 2_048, 1 << 21, 1 << 23), blocks._screen
+    for *values, screen in ((*usual, take), (32, 48, 1 << 12, 1 << 23, take), (512, 2_048, 1 << 21, 0, take), *((*usual, lambda *_, k=k: k) for k in (1, 3, 8))):
+        for name, value in (*zip(("ROWS", "COLUMNS", "TILE", "SINGLE"), values), ("_screen", screen)):
+            monkeypatch.setattr(blocks, name, value)
+        met.append(_pairs(x, x) | _pairs(x, guests))
+    assert len(guests.n) > 10 and len(wanted) > 200 and all(wanted <= m and m == met[0] for m in met)
+
+
+def test_p6_middle_list_halves_what_the_long_ones_hold():
+    counts = np.zeros(neardup.SLOTS, np.uint32)
+    counts[:100], counts[100:110], counts[110] = 5, 20, 150
+    assert neardup.middle_list(counts, 6) == 20 and neardup.middle_list(counts, 2) == 5 and neardup.middle_list(counts, 150) == 150
+
+
 def test_p6_short_lists_follow_the_cost():
     counts = np.zeros(neardup.SLOTS, np.int64)
     counts[:1000], counts[1000:1010] = 3, 50
